@@ -80,3 +80,60 @@ def p6_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_loaded, p5_found, p6_found, p6_history)}
+
+
+def _no_value(c: str) -> str:
+    return f"({c} is null or lower(trim({c})) in ('', 'n/a', 'not available', 'not applicable', 'too few to report', '.'))"
+
+
+def _number(c: str) -> str:
+    plain = f"regexp_replace({c}, '[,%\\s]', '', 'g')"
+    return f"case when not {_no_value(c)} then coalesce(cast(try_cast({plain} as decimal(38,10)) as varchar), lower({plain})) end"
+
+
+_ID = "case when length(regexp_replace(facility_id, '\\s', '', 'g')) < 6 then lpad(upper(regexp_replace(facility_id, '\\s', '', 'g')), 6, '0') else upper(regexp_replace(facility_id, '\\s', '', 'g')) end"
+
+SQL = {
+    "p5_found": f"""
+with rows_ as (
+    select source_release, {_ID} as facility_id, replace(regexp_extract(upper(measure_name), 'READM[-_]30[-_](.+)[-_]HRRP', 1), '-', '_') as condition, ingested_at,
+           concat_ws('|', {', '.join(f"coalesce({_number(c)}, '~')" for c in SNAPSHOT_VALUES if c != 'footnote')},
+                     case when {_no_value('footnote')} then '~' else regexp_extract(upper(trim(footnote)), '^([0-9A-Z]+)', 1) end) as content
+    from hrrp_snapshots
+), held as (
+    select * from rows_ where facility_id <> '' and condition <> ''
+    qualify row_number() over (partition by source_release, facility_id, condition order by ingested_at desc, content desc) = 1
+), place as (
+    select source_release, row_number() over (order by source_release) as i from (select distinct source_release from held)
+), placed as (select held.*, i from held join place using (source_release)),
+pairs as (
+    select coalesce(a.facility_id, b.facility_id) as facility_id, coalesce(a.condition, b.condition) as condition, coalesce(b.i, a.i + 1) as i,
+           case when a.i is null then 'added' when b.i is null then 'removed' when a.content <> b.content then 'changed' end as change_kind
+    from placed a full join placed b on a.facility_id = b.facility_id and a.condition = b.condition and a.i + 1 = b.i
+)
+select p.source_release, facility_id, condition, change_kind
+from pairs join place p using (i) where change_kind is not null and i > 1""",
+    "p6_found": f"""
+with rows_ as (
+    select {_ID} as facility_id, snapshot_date, ingested_at,
+           {', '.join(f"case when not {_no_value(c)} then lower(trim(regexp_replace({c}, chr(92) || 's+', ' ', 'g'))) end as {c}" for c in PROFILE)}
+    from hospital_info_archive
+), held as (
+    select * from rows_ where facility_id <> ''
+    qualify row_number() over (partition by facility_id, snapshot_date order by ingested_at desc) = 1
+), place as (
+    select snapshot_date, row_number() over (order by snapshot_date) as i, lead(snapshot_date) over (order by snapshot_date) as next_date
+    from (select distinct snapshot_date from held)
+), filled as (
+    select facility_id, snapshot_date, i, next_date,
+           concat_ws('|', {', '.join(f"coalesce(last_value({c} ignore nulls) over w, '~')" for c in PROFILE)}) as content
+    from held join place using (snapshot_date)
+    window w as (partition by facility_id order by i rows between unbounded preceding and current row)
+), marked as (
+    select *, lag(i) over w as before_i, lag(content) over w as before_content from filled window w as (partition by facility_id order by i)
+), numbered as (
+    select *, sum(case when before_i = i - 1 and before_content = content then 0 else 1 end) over (partition by facility_id order by i) as version from marked
+), ends as (select facility_id, version, min(snapshot_date) as valid_from, max(i) as i from numbered group by all)
+select facility_id, strftime(valid_from, '%Y-%m-%d') as valid_from, coalesce(strftime(next_date, '%Y-%m-%d'), '') as valid_to
+from ends join place using (i)""",
+}
