@@ -33,22 +33,29 @@ NO_LANGUAGE = ("", "und", "unk", "unknown", "none", "null", "n/a", "na", "xx", "
 BITS = 16
 FEATURES = 1 << BITS
 
-#: The classifier is fitted on at most so many labelled texts of each label, the first by a hash of their ids.
-TRAINING_TEXTS = 250
+#: The classifier is fitted on at most so many labelled texts of each label, the first by a hash of their ids, and on
+#: at most so many stretches of each, evenly spaced over the whole text.
+TRAINING_TEXTS, TRAINING_STRETCHES = 160, 24
 CENTROIDS = 3
 
-#: A stretch without stops is judged in windows of WINDOW words, every STEP words.
-WINDOW, STEP = 8, 4
+#: Characters whose n-grams are handled at once.
+SLICE = 200_000
+
+#: A stretch that no stop ends, or longer than any sentence, is judged in windows of WINDOW words, every STEP words.
+WINDOW, STEP, SENTENCE = 8, 4, 40
+
+#: Where languages meet without a stop, a single window must be this sure to count.
+ALONE = 0.9
 
 #: A stretch is rejected below this part of the score that all but 2 % of its language's training sentences reach, or
 #: if the next language comes closer than MARGIN.
-FLOOR, MARGIN = 0.6, 0.03
+FLOOR, MARGIN = 0.5, 0.02
 
 #: A language counts from so many words on (half the letters in Chinese).
 LEAST_WORDS = 3
 
 _NOISE = re.compile(r"<[^<>\n]{1,24}>|&(?:amp;)?#?\w{1,8};|\bnbsp;|\[[A-Z]{2,6}\]|(.)\1{4,}|Ã[ƒ\x80-\xbf]\S{0,3}|Â[\x80-\xbf]")
-_OTHER = re.compile(r"[^a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]+")
+_OTHER = re.compile(r"[^¿¡a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]+")
 _LINE = re.compile(r"[^\r\n  ]+")
 _STOP = re.compile(r"(?<![Ss]t\.)(?<!ST\.)(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])")
 _CODE = re.compile(r"[=<>{};]|\w\(|[a-z]_[a-z]", re.I)
@@ -101,10 +108,10 @@ def words_of(letters: str) -> float:
     return han / 2 + sum(len(w) > 1 and not _HAN.search(w) for w in letters.split())
 
 
-def windows(start: int, end: int, letters: str) -> list[tuple[int, int, str]]:
-    """A long stretch in overlapping windows; their places in the text are in proportion."""
+def windows(start: int, end: int, letters: str, stopped: bool) -> list[tuple[int, int, str]]:
+    """A stretch that may hold several sentences in overlapping windows; their places in the text are in proportion."""
     tokens = re.findall(r"[一-鿿]{1,2}|[^\s一-鿿]+", letters)
-    if len(tokens) <= WINDOW + STEP:
+    if len(tokens) <= (SENTENCE if stopped else WINDOW + STEP):
         return [(start, end, letters)]
     scale = (end - start) / len(tokens)
     out = []
@@ -144,7 +151,19 @@ def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mixed = (value * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(64 - BITS)
         keys.append((row[:m][ok] << np.uint64(BITS)) | mixed[ok])
     found, counts = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_counts=True)
-    return (found >> np.uint64(BITS)).astype(np.int64), (found & np.uint64(FEATURES - 1)).astype(np.int64), counts
+    return (found >> np.uint64(BITS)).astype(np.int32), (found & np.uint64(FEATURES - 1)).astype(np.int32), counts
+
+
+def slices(rows: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The rows in parts of about ``SLICE`` characters, with the place of each part."""
+    at, size = 0, 0
+    for i, row in enumerate(rows):
+        size += len(row) + 2
+        if size >= SLICE:
+            yield at, rows[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(rows):
+        yield at, rows[at:]
 
 
 @dataclass
@@ -154,23 +173,28 @@ class Model:
     floors: np.ndarray
 
     def vectors(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, feature, count = grams(rows)
-        weight = (1 + np.log(count)) * self.idf[feature]
-        norm = np.sqrt(np.bincount(row, weight**2, len(rows)))
-        return row, feature, weight / np.maximum(norm[row], 1e-9)
+        parts = []
+        for at, some in slices(rows):
+            row, feature, count = grams(some)
+            weight = ((1 + np.log(count)) * self.idf[feature]).astype(np.float32)
+            norm = np.sqrt(np.bincount(row, weight**2, len(some))).astype(np.float32)
+            parts.append((row + np.int32(at), feature, weight / np.maximum(norm[row], np.float32(1e-9))))
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
+
+    def nearness(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """Of each row with each centroid."""
+        out = np.zeros((rows, self.centroids.shape[1]), np.float32)
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
+        for a in range(0, len(first), 2048):
+            some = first[a : a + 2048]
+            begin, end = some[0], first[a + 2048] if a + 2048 < len(first) else len(row)
+            out[row[some]] = np.add.reduceat(self.centroids[feature[begin:end]] * weight[begin:end, None], some - begin, axis=0)
+        return out
 
     def scores(self, rows: list[str]) -> np.ndarray:
         """Cosine with the nearest centroid of each language, less what all centroids share."""
-        out = np.zeros((len(rows), len(LANGUAGES)))
-        for a in range(0, len(rows), 512):
-            part = rows[a : a + 512]
-            row, feature, weight = self.vectors(part)
-            if not len(row):
-                continue
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            near = np.add.reduceat(self.centroids[feature] * weight[:, None], first, axis=0)
-            out[a + row[first]] = near.reshape(len(first), len(LANGUAGES), -1).max(axis=2)
-        return out
+        near = self.nearness(*self.vectors(rows), len(rows))
+        return near.reshape(len(rows), len(LANGUAGES), -1).max(axis=2)
 
     def judge(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The language of each row (-1: rejected), and a confidence from 0 to 1."""
@@ -193,10 +217,10 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
         seen, texts = np.zeros(FEATURES, np.int64), 0
         for pdf in batches:
             some = [" ".join(letters for *_, letters, _ in stretches(t)) for t in pdf["__t"] if isinstance(t, str)]
-            for a in range(0, len(some), 256):
-                part = [s for s in some[a : a + 256] if s]
-                texts += len(part)
-                seen += np.bincount(grams(part)[1], minlength=FEATURES) if part else 0
+            some = [s for s in some if s]
+            texts += len(some)
+            for _, part in slices(some):
+                seen += np.bincount(grams(part)[1], minlength=FEATURES)
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": np.append(used, -1), "n": np.append(seen[used], texts)})
 
@@ -212,9 +236,10 @@ def without_accents(text: str) -> str:
 
 
 def _centroids(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Normalised means of the vectors in each group; a row's group may be -1."""
-    flat = np.bincount((group[row] * FEATURES + feature)[group[row] >= 0], weight[group[row] >= 0], groups * FEATURES).reshape(groups, FEATURES)
-    return (flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).T
+    """Normalised means of the vectors in each group, less what all have in common."""
+    flat = np.bincount(group[row] * FEATURES + feature, weight, groups * FEATURES).reshape(groups, FEATURES)
+    flat = np.ascontiguousarray((flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).T.astype(np.float32))
+    return flat - flat.mean(axis=1, keepdims=True)
 
 
 def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
@@ -234,34 +259,26 @@ def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
     rows: list[str] = []
     labels: list[int] = []
     for lang, body in zip(sample["__l"], sample["__t"]):
-        for start, end, letters, _ in stretches(body):
-            for *_, piece in windows(start, end, letters):
-                if words_of(piece) >= LEAST_WORDS:
-                    rows += [piece, without_accents(piece)]
-                    labels += [LANGUAGES.index(lang)] * 2
+        pieces = [p for start, end, letters, stopped in stretches(body) for *_, p in windows(start, end, letters, stopped) if words_of(p) >= LEAST_WORDS]
+        for piece in pieces[:: max(1, -(-len(pieces) // TRAINING_STRETCHES))]:
+            rows += [piece, without_accents(piece)]
+            labels += [LANGUAGES.index(lang)] * 2
     n = len(LANGUAGES)
-    model = Model(idf, np.zeros((FEATURES, n)), np.zeros(n))
+    model = Model(idf.astype(np.float32), np.zeros((FEATURES, n), np.float32), np.ones(n))
     if not rows:
         return model
     row, feature, weight = model.vectors(rows)
     group = np.array(labels)
     for _ in range(3):
-        means = _centroids(row, feature, weight, group, n)
-        model.centroids = means - means.mean(axis=1, keepdims=True)
-        group = model.scores(rows).argmax(axis=1)
+        model.centroids = _centroids(row, feature, weight, group, n)
+        group = model.nearness(row, feature, weight, len(rows)).argmax(axis=1)
     fine = group * CENTROIDS + np.arange(len(rows)) // 2 % CENTROIDS
     for _ in range(4):
-        means = _centroids(row, feature, weight, fine, n * CENTROIDS)
-        model.centroids = means - means.mean(axis=1, keepdims=True)
-        near = np.zeros((len(rows), n * CENTROIDS))
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        near[row[first]] = np.add.reduceat(model.centroids[feature] * weight[:, None], first, axis=0)
-        own = near.reshape(len(rows), n, CENTROIDS)[np.arange(len(rows)), group]
-        fine = group * CENTROIDS + own.argmax(axis=1)
-    means = _centroids(row, feature, weight, fine, n * CENTROIDS)
-    model.centroids = means - means.mean(axis=1, keepdims=True)
-    scores = model.scores(rows).max(axis=1)
-    model.floors = np.array([np.quantile(scores[group == i], 0.02) if (group == i).any() else 1.0 for i in range(n)])
+        model.centroids = _centroids(row, feature, weight, fine, n * CENTROIDS)
+        near = model.nearness(row, feature, weight, len(rows)).reshape(len(rows), n, CENTROIDS)
+        fine = group * CENTROIDS + near[np.arange(len(rows)), group].argmax(axis=1)
+    best = near.max(axis=(1, 2))
+    model.floors = np.array([np.quantile(best[group == i], 0.02) if (group == i).any() else 1.0 for i in range(n)])
     return model
 
 
@@ -272,7 +289,7 @@ class Stretch:
     words: float
     lang: int
     sure: float
-    stopped: bool
+    cut: bool
     windows: int = 1
 
 
@@ -282,19 +299,31 @@ def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
     where: list[tuple[int, int, int, int, bool]] = []
     for i, text in enumerate(texts):
         for k, (start, end, letters, stopped) in enumerate(stretches(text)):
-            for a, b, piece in windows(start, end, letters):
+            parts = windows(start, end, letters, stopped)
+            for a, b, piece in parts:
                 rows.append(piece)
-                where.append((i, k, a, b, stopped))
+                where.append((i, k, a, b, len(parts) > 1))
     langs, sure = model.judge(rows)
     out: list[list[Stretch]] = [[] for _ in texts]
     previous: tuple[int, int] | None = None
-    for (i, k, a, b, stopped), piece, lang, s in zip(where, rows, langs, sure):
+    for (i, k, a, b, cut_), piece, lang, s in zip(where, rows, langs, sure):
         last = out[i][-1] if out[i] else None
         if previous == (i, k) and last is not None and last.lang == lang:
             last.end, last.words, last.sure, last.windows = b, last.words + words_of(piece) / 2, max(last.sure, float(s)), last.windows + 1
         else:
-            out[i].append(Stretch(a, b, words_of(piece), int(lang), float(s), stopped))
+            out[i].append(Stretch(a, b, words_of(piece), int(lang), float(s), cut_))
         previous = (i, k)
+    short = [i for i, found in enumerate(out) if found and not counted(found)]
+    if short:
+        # Nothing is near enough or long enough by itself: the nearest language of all words together.
+        words: dict[int, list[str]] = {i: [] for i in short}
+        for (i, *_), piece in zip(where, rows):
+            if i in words:
+                words[i].append(piece)
+        scores = model.scores([" ".join(words[i]) for i in short])
+        for i, row in zip(short, scores):
+            if row.max() > 0:
+                out[i] = [Stretch(out[i][0].start, out[i][-1].end, LEAST_WORDS, int(row.argmax()), round(float(row.max()), 4), False)]
     return out
 
 
@@ -303,7 +332,7 @@ def counted(found: list[Stretch]) -> dict[int, tuple[float, float]]:
     where languages meet without a stop, more than one window or a clear one."""
     out: dict[int, tuple[float, float]] = {}
     for s in found:
-        if s.lang >= 0 and s.words >= LEAST_WORDS:
+        if s.lang >= 0 and s.words >= LEAST_WORDS and (not s.cut or s.windows > 1 or s.sure >= ALONE):
             words, sure = out.get(s.lang, (0.0, 0.0))
             out[s.lang] = (words + s.words, max(sure, s.sure))
     return out
@@ -320,7 +349,7 @@ def identify(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     and blank texts, and those without words, have no language and no confidence. Whole texts are read.
     """
     kind = df.select(key).schema[0].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.idf.astype(np.float32), model.centroids.astype(np.float32), model.floors))
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors))
     rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -129,3 +129,38 @@ QUERIES = {
         p9_containers, p9_report, p10_found, p10_languages, p10_segments,
     )
 }
+
+_RATIOS = """
+with facts as (select distinct * from fct_readmissions where in_payment_file and excess_readmission_ratio is not null),
+groups_ as (
+    select facility_id, fiscal_year, peer_group from payment_adjustments
+    qualify row_number() over (partition by facility_id, fiscal_year order by ingested_at desc, peer_group desc nulls last) = 1
+),
+ratios as (
+    select fiscal_year, condition, cast(peer_group as bigint) as peer_group, excess_readmission_ratio, peer_group_median_err
+    from facts join groups_ using (facility_id, fiscal_year) where peer_group is not null
+)"""
+
+SQL = {
+    "p4_found": _RATIOS
+    + """
+select fiscal_year, condition, peer_group from ratios group by all
+having abs(median(excess_readmission_ratio) - mode(peer_group_median_err)) > 0.01""",
+    "p4_quantiles": _RATIOS
+    + """
+select fiscal_year, condition, peer_group, cast(p as double) as probability, n, round(q, 6) as quantile from (
+    select fiscal_year, condition, peer_group, n, unnest([0.1, 0.25, 0.5, 0.75, 0.9]) as p, unnest(qs) as q from (
+        select fiscal_year, condition, peer_group, count(*) as n, quantile_cont(excess_readmission_ratio, [0.1, 0.25, 0.5, 0.75, 0.9]) as qs
+        from ratios group by all))""",
+    "p7_found": """
+with recursive edges as (
+    select old_facility_id as a, new_facility_id as b from ccn_changes where trim(old_facility_id) <> '' and trim(new_facility_id) <> ''
+    union select new_facility_id, old_facility_id from ccn_changes where trim(old_facility_id) <> '' and trim(new_facility_id) <> ''
+), reach as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+roots as (select a as facility_id, least(a, min(b)) as root from reach group by a)
+select coalesce(root, f.facility_id) as group_id
+from ml_penalty_features f left join roots r on f.facility_id = r.facility_id
+where f.facility_id is not null
+group by 1 having count(distinct nullif(lower(trim(split)), '')) > 1""",
+    "p8_decoded": "select doc_id, coalesce(text, '') as text from documents",
+}
