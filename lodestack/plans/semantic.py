@@ -195,8 +195,15 @@ class MetricLayer:
 
     def metric_checks(self, by: str) -> DataFrame:
         """(``metric``, ``by``, ``expected_value``) of every offered metric, long, for reconciliation elsewhere."""
-        rows = [self.query([m], [by]).select(F.lit(m).alias("metric"), by, F.col(m).cast("double").alias("expected_value")) for m in self.metrics]
-        return reduce(DataFrame.unionByName, rows)
+        by_fact: dict[str, list[str]] = {}
+        for m in self.metrics:
+            if by in self.dimensions_of([m]):
+                by_fact.setdefault(self.all_metrics[self._leaves(m)[0]].measure.model, []).append(m)
+        parts = []
+        for own in by_fact.values():
+            cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("expected_value")) for m in own])
+            parts.append(self.query(own, [by]).select(by, F.explode(cells).alias("__c")).select("__c.metric", by, "__c.expected_value"))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def parse_filter(text: str) -> Filter:
