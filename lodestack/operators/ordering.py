@@ -57,7 +57,7 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], value: str, probabilit
         has = lambda k: (k >= F.col("start")) & (k < F.col("start") + F.col("n"))
         low, high = F.max(F.when(has(F.floor(at)), F.col(value))), F.max(F.when(has(F.ceil(at)), F.col(value)))
         part = F.max(at - F.floor(at))
-        out.append((low * (1 - part) + high * part).alias(f"q{i}"))
+        out.append((low + (high - low) * part).alias(f"q{i}"))
     return places.groupBy(*groups).agg(*out)
 
 
