@@ -54,7 +54,7 @@ def quantiles(state: DataFrame, groups: list[str], value: str, probabilities: li
         F.max("__total").alias("n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.max("__t.at").alias("__at")
     )
     part = F.col("__at") - F.floor("__at")
-    return out.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "probability", "n", (F.col("__low") * (1 - part) + F.col("__high") * part).alias("quantile"))
+    return out.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], "probability", "n", (F.col("__low") + (F.col("__high") - F.col("__low")) * part).alias("quantile"))
 
 
 def peer_ratios(facts: DataFrame, adjustments: DataFrame) -> DataFrame:
