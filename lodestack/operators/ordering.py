@@ -78,8 +78,9 @@ def spearman(df: DataFrame, groups: Sequence[str], a: str, b: str) -> DataFrame:
     """(groups, ``rho``, ``n``) over rows that have both values; null where one is constant."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = with_rank(with_rank(rows, groups, a, average_rank(), "__ra"), groups, b, average_rank(), "__rb")
+    rho = F.try_divide(F.covar_pop("__ra", "__rb"), F.stddev_pop("__ra") * F.stddev_pop("__rb"))
     varies = (F.min("__ra") < F.max("__ra")) & (F.min("__rb") < F.max("__rb"))
-    return ranked.groupBy(*groups).agg(F.when(varies, F.corr("__ra", "__rb")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*groups).agg(F.when(varies, rho).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def auc(df: DataFrame, groups: Sequence[str], label: str, score: str) -> DataFrame:
