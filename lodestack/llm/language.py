@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -38,6 +38,9 @@ FEATURES = 1 << BITS
 TRAINING_TEXTS, TRAINING_STRETCHES = 160, 24
 CENTROIDS = 3
 
+#: Most sentences of which a task keeps the language.
+MOST_KEPT = 100_000
+
 #: Characters whose n-grams are handled at once.
 SLICE = 200_000
 
@@ -104,8 +107,10 @@ def stretches(text: str) -> list[tuple[int, int, str, bool]]:
 
 def words_of(letters: str) -> float:
     """Words of at least two letters; two Chinese signs are one."""
-    han = len(_HAN.findall(letters))
-    return han / 2 + sum(len(w) > 1 and not _HAN.search(w) for w in letters.split())
+    words = letters.split()
+    if letters.isascii() or not _HAN.search(letters):
+        return len(words) - sum(len(w) == 1 for w in words)
+    return len(_HAN.findall(letters)) / 2 + sum(len(w) > 1 and not _HAN.search(w) for w in words)
 
 
 def windows(start: int, end: int, letters: str, stopped: bool) -> list[tuple[int, int, str]]:
@@ -171,6 +176,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     floors: np.ndarray
+    seen: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def vectors(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = []
@@ -185,9 +191,10 @@ class Model:
         """Of each row with each centroid."""
         out = np.zeros((rows, self.centroids.shape[1]), np.float32)
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
-        for a in range(0, len(first), 2048):
-            some = first[a : a + 2048]
-            begin, end = some[0], first[a + 2048] if a + 2048 < len(first) else len(row)
+        step = 128  # so that a part stays in the processor's cache
+        for a in range(0, len(first), step):
+            some = first[a : a + step]
+            begin, end = some[0], first[a + step] if a + step < len(first) else len(row)
             out[row[some]] = np.add.reduceat(self.centroids[feature[begin:end]] * weight[begin:end, None], some - begin, axis=0)
         return out
 
@@ -196,17 +203,22 @@ class Model:
         near = self.nearness(*self.vectors(rows), len(rows))
         return near.reshape(len(rows), len(LANGUAGES), -1).max(axis=2)
 
-    def judge(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The language of each row (-1: rejected), and a confidence from 0 to 1."""
-        if not rows:
-            return np.empty(0, int), np.empty(0)
-        scores = self.scores(rows)
-        best = scores.argmax(axis=1)
-        ordered = np.sort(scores, axis=1)
-        top, margin = ordered[:, -1], ordered[:, -1] - ordered[:, -2]
-        ok = (top >= FLOOR * self.floors[best]) & (margin >= MARGIN)
-        sure = 1 / (1 + np.exp(-20 * (margin - MARGIN)))
-        return np.where(ok, best, -1), np.round(sure, 4)
+    def judge(self, rows: list[str]) -> list[tuple[int, float]]:
+        """The language of each row (-1: rejected), and a confidence from 0 to 1. Rows are kept while there are not too many,
+        as short sentences recur."""
+        new = [r for r in dict.fromkeys(rows) if r not in self.seen]
+        if len(self.seen) + len(new) > MOST_KEPT:
+            self.seen.clear()
+            new = list(dict.fromkeys(rows))
+        if new:
+            scores = self.scores(new)
+            best = scores.argmax(axis=1)
+            ordered = np.sort(scores, axis=1)
+            top, margin = ordered[:, -1], ordered[:, -1] - ordered[:, -2]
+            ok = (top >= FLOOR * self.floors[best]) & (margin >= MARGIN)
+            sure = np.round(1 / (1 + np.exp(-20 * (margin - MARGIN))), 4)
+            self.seen.update(zip(new, zip(np.where(ok, best, -1).tolist(), sure.tolist())))
+        return [self.seen[r] for r in rows]
 
 
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -303,15 +315,15 @@ def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
             for a, b, piece in parts:
                 rows.append(piece)
                 where.append((i, k, a, b, len(parts) > 1))
-    langs, sure = model.judge(rows)
+    found = model.judge(rows)
     out: list[list[Stretch]] = [[] for _ in texts]
     previous: tuple[int, int] | None = None
-    for (i, k, a, b, cut_), piece, lang, s in zip(where, rows, langs, sure):
+    for (i, k, a, b, cut_), piece, (lang, s) in zip(where, rows, found):
         last = out[i][-1] if out[i] else None
         if previous == (i, k) and last is not None and last.lang == lang:
-            last.end, last.words, last.sure, last.windows = b, last.words + words_of(piece) / 2, max(last.sure, float(s)), last.windows + 1
+            last.end, last.words, last.sure, last.windows = b, last.words + words_of(piece) / 2, max(last.sure, s), last.windows + 1
         else:
-            out[i].append(Stretch(a, b, words_of(piece), int(lang), float(s), cut_))
+            out[i].append(Stretch(a, b, words_of(piece), lang, s, cut_))
         previous = (i, k)
     short = [i for i, found in enumerate(out) if found and not counted(found)]
     if short:
