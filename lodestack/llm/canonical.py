@@ -210,7 +210,7 @@ def match_entries(values: DataFrame, reference: DataFrame, key: str, block: str,
         # Names of other blocks are looked up by a join here, as no task holds them all.
         keys = F.pandas_udf(lambda n: n.map(lambda x: name_key(x)[0] if isinstance(x, str) else None), "string")
         salted = rows.withColumn("__s", F.pmod(F.xxhash64("__v"), F.lit(SALTS)))
-        copies = names.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        copies = names.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
         def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _matched(left, Matcher(list(right[["e", "b", "n"]].itertuples(index=False, name=None))))
