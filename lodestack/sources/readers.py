@@ -94,7 +94,10 @@ def read_text_table(spark: SparkSession, path: str, options: Mapping[str, Any] |
         df = spark.read.options(**csv_options, header=True, inferSchema=False, encoding=charset, multiLine=bool(options.get("multiline", False))).csv(path)
         names = df.columns
     else:
-        lines = spark.read.option("encoding", charset).text(path).withColumn("__at", F.monotonically_increasing_id())
+        # The text source keeps bytes as they are, so they can be decoded afterwards.
+        lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
+        if charset != "UTF-8":
+            lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), charset))
         if windows:
             lines = lines.withColumn("value", F.translate("value", C1, WINDOWS))
         above = lines.orderBy("__at").limit(skip + 1).collect()
