@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = ("en", "es", "fr", "de", "pt", "it", "zh", "ru")
 
@@ -54,8 +56,8 @@ ALONE = 0.9
 #: if the next language comes closer than MARGIN.
 FLOOR, MARGIN = 0.5, 0.02
 
-#: A language counts from so many words on (half the letters in Chinese).
-LEAST_WORDS = 3
+#: A sentence counts from so many words on (half the letters in Chinese), a stretch that no stop ends from more.
+LEAST_WORDS, LEAST_OPEN = 3, 5
 
 _NOISE = re.compile(r"<[^<>\n]{1,24}>|&(?:amp;)?#?\w{1,8};|\bnbsp;|\[[A-Z]{2,6}\]|(.)\1{4,}|Ã[ƒ\x80-\xbf]\S{0,3}|Â[\x80-\xbf]")
 _OTHER = re.compile(r"[^¿¡a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]+")
@@ -302,28 +304,29 @@ class Stretch:
     lang: int
     sure: float
     cut: bool
+    stopped: bool = True
     windows: int = 1
 
 
 def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
     """The stretches of each text; neighbouring windows of a language that no stop divides are one."""
     rows: list[str] = []
-    where: list[tuple[int, int, int, int, bool]] = []
+    where: list[tuple[int, int, int, int, bool, bool]] = []
     for i, text in enumerate(texts):
         for k, (start, end, letters, stopped) in enumerate(stretches(text)):
             parts = windows(start, end, letters, stopped)
             for a, b, piece in parts:
                 rows.append(piece)
-                where.append((i, k, a, b, len(parts) > 1))
+                where.append((i, k, a, b, len(parts) > 1, stopped))
     found = model.judge(rows)
     out: list[list[Stretch]] = [[] for _ in texts]
     previous: tuple[int, int] | None = None
-    for (i, k, a, b, cut_), piece, (lang, s) in zip(where, rows, found):
+    for (i, k, a, b, cut_, stopped), piece, (lang, s) in zip(where, rows, found):
         last = out[i][-1] if out[i] else None
         if previous == (i, k) and last is not None and last.lang == lang:
             last.end, last.words, last.sure, last.windows = b, last.words + words_of(piece) / 2, max(last.sure, s), last.windows + 1
         else:
-            out[i].append(Stretch(a, b, words_of(piece), lang, s, cut_))
+            out[i].append(Stretch(a, b, words_of(piece), lang, s, cut_, stopped))
         previous = (i, k)
     short = [i for i, found in enumerate(out) if found and not counted(found)]
     if short:
@@ -344,13 +347,52 @@ def counted(found: list[Stretch]) -> dict[int, tuple[float, float]]:
     where languages meet without a stop, more than one window or a clear one."""
     out: dict[int, tuple[float, float]] = {}
     for s in found:
-        if s.lang >= 0 and s.words >= LEAST_WORDS and (not s.cut or s.windows > 1 or s.sure >= ALONE):
+        if s.lang >= 0 and s.words >= (LEAST_WORDS if s.stopped else LEAST_OPEN) and (not s.cut or s.windows > 1 or s.sure >= ALONE):
             words, sure = out.get(s.lang, (0.0, 0.0))
             out[s.lang] = (words + s.words, max(sure, s.sure))
     return out
 
 
-SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double>>"
+def _merged(found: list[Stretch]) -> list[dict]:
+    """Neighbouring stretches of one language as one."""
+    out: list[dict] = []
+    for s in found:
+        name = LANGUAGES[s.lang] if s.lang >= 0 else None
+        if out and out[-1]["lang"] == name:
+            out[-1]["end"], out[-1]["confidence"] = s.end, max(out[-1]["confidence"], s.sure)
+        else:
+            out.append({"start": s.start, "end": s.end, "lang": name, "confidence": s.sure})
+    return out
+
+
+SEGMENT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
+
+
+def _identified(df: DataFrame, keep: list[str], text: str, model: Model, segments: bool) -> DataFrame:
+    rows = df.select(*keep, F.col(text).alias("__t"))
+    schema = T.StructType([f for f in rows.schema if f.name != "__t"]).add("lang", T.StringType()).add("confidence", T.DoubleType()).add("languages", T.ArrayType(T.StringType()))
+    if segments:
+        parts = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType()).add("confidence", T.DoubleType())
+        schema = schema.add("segments", T.ArrayType(parts))
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shared.value)
+        for whole in batches:
+            for a in range(0, max(1, len(whole)), 256):
+                batch = whole.slice(a, 256)
+                found = judged([t or "" for t in batch.column("__t").to_pylist()], own)
+                langs = [sorted(counted(f).items(), key=lambda x: (-x[1][0], x[0])) for f in found]
+                made = [
+                    pa.array([LANGUAGES[x[0][0]] if x else None for x in langs], pa.string()),
+                    pa.array([x[0][1][1] if x else None for x in langs], pa.float64()),
+                    pa.array([[LANGUAGES[i] for i, _ in x] for x in langs], pa.list_(pa.string())),
+                ]
+                if segments:
+                    made.append(pa.array([_merged(f) for f in found], pa.list_(SEGMENT)))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def identify(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
@@ -360,38 +402,13 @@ def identify(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     stretches of one language by offsets of characters, ``lang`` null where none is near enough. Null, empty
     and blank texts, and those without words, have no language and no confidence. Whole texts are read.
     """
-    kind = df.select(key).schema[0].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors))
-    rows = df.select(F.col(key).alias("__k"), F.col(text).alias("__t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
-        for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256]
-                texts = [t if isinstance(t, str) else "" for t in part["__t"]]
-                out = []
-                for k, found in zip(part["__k"], judged(texts, own)):
-                    langs = sorted(counted(found).items(), key=lambda x: (-x[1][0], x[0]))
-                    merged: list[dict] = []
-                    for s in found:
-                        name = LANGUAGES[s.lang] if s.lang >= 0 else None
-                        if merged and merged[-1]["lang"] == name:
-                            merged[-1]["end"], merged[-1]["confidence"] = s.end, max(merged[-1]["confidence"], s.sure)
-                        else:
-                            merged.append({"start": s.start, "end": s.end, "lang": name, "confidence": s.sure})
-                    out.append((k, LANGUAGES[langs[0][0]] if langs else None, langs[0][1][1] if langs else None, [LANGUAGES[x] for x, _ in langs], merged))
-                yield pd.DataFrame(out, columns=["__k", "lang", "confidence", "languages", "segments"])
-
-    found = rows.mapInPandas(run, f"__k {kind}, lang string, confidence double, languages array<string>, segments {SEGMENTS}")
-    return found.withColumnRenamed("__k", key)
+    return _identified(df, [key], text, model, True)
 
 
 def wrong_labels(df: DataFrame, key: str, text: str, label: str, model: Model) -> DataFrame:
     """(key, ``lang``): a row per language of each text whose label is missing or names another language than the text's, and
     of each text in several languages. Texts in no language have no row; another form of the right label is right."""
-    said = canonical_label(F.col(label))
-    carried = df.select(F.struct(F.col(key).alias("k"), said.alias("l")).alias("__both"), F.col(text).alias("__text"))
-    found = identify(carried, "__both", "__text", model)
-    wrong = (F.size("languages") > 1) | F.col("__both.l").isNull() | (F.col("__both.l") != F.col("lang"))
-    return found.where((F.size("languages") > 0) & wrong).select(F.col("__both.k").alias(key), F.explode("languages").alias("lang"))
+    said = df.select(key, F.col(text).alias("__text"), canonical_label(F.col(label)).alias("__said"))
+    found = _identified(said, [key, "__said"], "__text", model, False)
+    wrong = (F.size("languages") > 1) | F.col("__said").isNull() | (F.col("__said") != F.col("lang"))
+    return found.where((F.size("languages") > 0) & wrong).select(key, F.explode("languages").alias("lang"))
