@@ -107,6 +107,14 @@ def covers(keys: DataFrame, key: str, sources: Sequence[DataFrame]) -> DataFrame
     return missing.distinct()
 
 
+def golden(df: DataFrame, key: str, value: str, expected: Mapping) -> DataFrame:
+    """Known records whose value is another, or that are missing; nulls are values."""
+    schema = T.StructType([T.StructField("__k", df.schema[key].dataType), T.StructField("expected", df.schema[value].dataType)])
+    known = df.sparkSession.createDataFrame(list(expected.items()), schema)
+    found = known.join(df.select(F.col(key).alias("__f"), F.col(value).alias("found")), F.col("__k") == F.col("__f"), "left")
+    return found.where(~F.col("found").eqNullSafe(F.col("expected"))).select(F.col("__k").alias(key), "expected", "found")
+
+
 def not_before(df: DataFrame, earlier: str, later: str) -> DataFrame:
     """Leakage guard: rows in which what should lie earlier does not end before the later begins."""
     return df.where(F.col(earlier) >= F.col(later))

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.ordering import percent_ranked
 from lodestack.plans.semantic import MetricLayer
 
 
@@ -28,6 +29,18 @@ def export_all(layer: MetricLayer, tables: Mapping[str, DataFrame], folder: str
     return export_tables({**tables, "metric_checks": layer.metric_checks(by)}, folder)
 
 
+def model_risk(scored: DataFrame, score: str, target: str, year: str = "fiscal_year", key: str = "facility_id", flagged: float = 0.75) -> DataFrame:
+    """Predictions with their rank as a share of the year (ties share the mean rank) and whether it is above ``flagged``."""
+    ranked = percent_ranked(scored.select(key, year, F.col(score).alias("predicted"), F.col(target).alias("actual")), [year], "predicted", "predicted_rank")
+    return ranked.withColumn("is_flagged", F.col("predicted_rank") > flagged)
+
+
+def model_drivers(parts: DataFrame, families: Sequence[str], key: str = "facility_id", year: str = "fiscal_year") -> DataFrame:
+    """(key, year, ``family``, ``contribution``) from ``parts``, an array of what each input adds, by the inputs' families."""
+    cells = parts.select(key, year, F.explode(F.arrays_zip(F.array(*[F.lit(f) for f in families]).alias("family"), F.col("parts").alias("part"))).alias("c"))
+    return cells.groupBy(key, year, F.col("c.family").alias("family")).agg(F.sum("c.part").alias("contribution"))
+
+
 def mismatches(expected: DataFrame, recomputed: DataFrame, keys: Sequence[str], a: str, b: str, tolerance: float = 1e-6) -> DataFrame:
     """Figures that two engines disagree on by more than a relative tolerance; missing equals 0, as a sum of nothing may be either."""
     other = recomputed.select(*keys, F.col(b).alias("__b"))

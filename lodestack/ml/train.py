@@ -88,6 +88,11 @@ def write_report(report: Mapping, folder: str | Path) -> None:
     Path(folder, "metrics.json").write_text(json.dumps(rounded(dict(report)), indent=1))
 
 
+def save_models(models: Mapping[str, Fitted], folder: str) -> None:
+    for name, model in models.items():
+        model.pipeline.write().overwrite().save(f"{folder}/{name}")
+
+
 def lift(df: DataFrame, flag: str, target: str, label: str) -> DataFrame:
     """Flagged and other rows: how many, their mean, and the share that has the label."""
     return df.groupBy(flag).agg(F.count(F.lit(1)).alias("hospitals"), F.avg(target).alias("mean"), F.avg(F.col(label).cast("double")).alias("share"))

@@ -105,6 +105,14 @@ def shifted(df: DataFrame, key: str, by: int, parse: Callable[[Column], Column],
     return df.withColumn(key, write(parse(F.col(key)) + F.lit(by)))
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that is an error if either side has a key twice."""
+    for name, side in (("left", left), ("right", right)):
+        if side.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            raise ValueError(f"the {name} side has rows with the same {', '.join(keys)}")
+    return left.join(right, list(keys), how)
+
+
 def asof_window(left: DataFrame, windows: DataFrame, at: str, start: str, end: str) -> DataFrame:
     """``left`` with the window that ends last on or before ``at``; of windows ending together the longest.
 

@@ -551,6 +551,15 @@ def ml_penalty_features(t: Tables) -> DataFrame:
     )
 
 
+#: The days that the calendar covers, the last not included.
+SPINE = ("2018-01-01", "2031-01-01")
+
+
+@HOSPITAL.node("hrrp", layer="marts")
+def time_spine(t: Tables) -> DataFrame:
+    return R.calendar(t["hrrp"].sparkSession, *SPINE)
+
+
 # Checks
 
 

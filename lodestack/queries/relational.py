@@ -574,6 +574,22 @@ def reconciliation_mismatches(spark, d):
     return export.mismatches(count(table(spark, d, "fct_readmissions"), "expected"), count(Q.facts(spark, d), "found"), keys, "expected", "found")
 
 
+@query("with " + Q.PAYMENTS_SQL + """, r as (select fiscal_year, facility_id, payment_reduction_pct as predicted, dual_proportion as actual,
+round((rank() over (partition by fiscal_year order by payment_reduction_pct) + (count(*) over (partition by fiscal_year, payment_reduction_pct) - 1) / 2.0) / count(*) over (partition by fiscal_year), 6) as predicted_rank from payments where payment_reduction_pct is not null)
+select *, predicted_rank > 0.75 as is_flagged from r""")
+def rank_flags(spark, d):
+    """A score's rank within its year, and the flag of the top quarter."""
+    rows = Q.payments(spark, d).where("payment_reduction_pct is not null")
+    out = export.model_risk(rows, "payment_reduction_pct", "dual_proportion").withColumn("predicted_rank", F.round("predicted_rank", 6))
+    return out.withColumn("is_flagged", F.col("predicted_rank") > 0.75)
+
+
+@query("""select county_fips, expected, found from (select e.county_fips, e.expected, c.state as found from (values ('01001', 'AL'), ('02001', 'AK'), ('99999', 'ZZ'), ('03001', 'XX')) e(county_fips, expected) left join census_county c using (county_fips))
+where found is distinct from expected""")
+def dq_golden(spark, d):
+    return checks.golden(table(spark, d, "census_county"), "county_fips", "state", {"01001": "AL", "02001": "AK", "99999": "ZZ", "03001": "XX"})
+
+
 @query("select condition, case condition when 'AMI' then 'Heart attack' when 'HF' then 'Heart failure' else condition end as label, count(*) as n from fct_readmissions group by all")
 def labelled_codes(spark, d):
     label = export.labelled(F.col("condition"), {"AMI": "Heart attack", "HF": "Heart failure"})

@@ -76,7 +76,7 @@ def built(spark, sources, tmp_path_factory):
 def test_all_tables_and_checks(built):
     tables, outcomes, skipped = built
     assert not skipped and all(o.passed for o in outcomes if o.severity == "error"), [o for o in outcomes if not o.passed]
-    assert len(HOSPITAL.nodes) == 23 and len(outcomes) >= 15
+    assert len(HOSPITAL.nodes) == 24 and len(outcomes) >= 15 and tables["time_spine"].count() == 4748
 
 
 def test_results(built):

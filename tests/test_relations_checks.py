@@ -90,6 +90,21 @@ def test_checks(spark):
     assert C.same_rows(df, df.limit(2)).count() in (1, 2) and C.recomputes(df, F.col("v"), F.lit(1), 0.5).count() == 1
 
 
+def test_golden_and_one_to_one(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string")
+    assert {r["k"]: r["found"] for r in C.golden(df, "k", "v", {"a": "1", "b": "3", "c": "4"}).collect()} == {"b": "2", "c": None}
+    assert R.one_to_one(df, df, ["k"]).count() == 2
+    with pytest.raises(ValueError):
+        R.one_to_one(df, df.union(df), ["k"])
+
+
+def test_model_exports(spark):
+    df = spark.createDataFrame([("a", "F", 1.0, 0.0), ("b", "F", 1.0, 0.0), ("c", "F", 3.0, 0.0), ("d", "F", 4.0, 0.0)], "facility_id string, fiscal_year string, s double, t double")
+    assert {r["facility_id"]: (r["predicted_rank"], r["is_flagged"]) for r in X.model_risk(df, "s", "t").collect()} == {"a": (0.375, False), "b": (0.375, False), "c": (0.75, False), "d": (1.0, True)}
+    parts = df.limit(1).withColumn("parts", F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)))
+    assert {r["family"]: r["contribution"] for r in X.model_drivers(parts, ["x", "y", "x"]).collect()} == {"x": 5.0, "y": 2.0}
+
+
 def test_suite(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 9)], "k string, v int")
     suite = C.Suite()
