@@ -39,6 +39,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes a core below which an input of few files is dealt to all cores.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that takes far longer than its reading: if it has fewer files than there are cores and is small (as
+    planned, on disk), its rows are dealt to all cores; a large input is read in enough parts anyway and stays."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL and 0 < len(df.inputFiles()) < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's own setting, and a temporary one only where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
