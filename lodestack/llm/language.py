@@ -37,7 +37,7 @@ FEATURES = 1 << BITS
 
 #: The classifier is fitted on at most so many labelled texts of each label, the first by a hash of their ids, and on
 #: at most so many stretches of each, evenly spaced over the whole text.
-TRAINING_TEXTS, TRAINING_STRETCHES = 160, 24
+TRAINING_TEXTS, TRAINING_STRETCHES = 160, 12
 CENTROIDS = 3
 
 #: Most sentences of which a task keeps the language.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import canonical, language, packing, quantiles, splits, tokens
-from lodestack.session import cut, table
+from lodestack.session import cut, spread, table
 
 TOKENIZER = "byte_bpe_50k"
 CAPACITY = 2048
@@ -72,9 +72,13 @@ def p7_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, table(spark, folder, "ccn_changes"), "facility_id", "old_facility_id", "new_facility_id", SHARES)
 
 
+def _texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", *columns))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The ids of every text."""
-    return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text", tokens.vocabulary(TOKENIZER))
+    return tokens.encode_corpus(_texts(spark, folder), "doc_id", "text", tokens.vocabulary(TOKENIZER))
 
 
 def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +88,7 @@ def p8_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text", tokens.vocabulary(TOKENIZER), lengths=True)
+    sizes = tokens.encode_corpus(_texts(spark, folder), "doc_id", "text", tokens.vocabulary(TOKENIZER), lengths=True)
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
@@ -99,7 +103,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, folder: str) -> tuple[DataFrame, language.Model]:
-    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    documents = _texts(spark, folder, "lang")
     return documents, language.fit(documents, "doc_id", "text", "lang")
 
 
