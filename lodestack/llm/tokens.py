@@ -23,8 +23,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 #: A block of texts whose words share one dictionary ends after so many texts or characters.
 BLOCK_TEXTS, BLOCK_CHARS = 1024, 1 << 20
 
-#: A word with more than 1/HOT of all dictionary entries is hot; so there are fewer than HOT of them.
-HOT = 4096
+#: A word with more than 1/HOT of all dictionary entries is hot, unless it is longer than HOT_LETTERS; so there are fewer than HOT of
+#: them, and what is sent to every task is bounded.
+HOT, HOT_LETTERS = 4096, 256
 
 
 def vocabulary(name: str, folder: str = FOLDER) -> str:
@@ -119,8 +120,8 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str, lengths: bool =
     words = cut(_encode_words(entries.groupBy("word").agg(F.count(F.lit(1)).alias("n")), path))
     total = words.agg(F.sum("n")).first()[0] or 0
     value = F.size("ids").alias("v") if lengths else F.col("ids").alias("v")
-    hot = words.where(F.col("n") * HOT > total)
-    rest = words.where(F.col("n") * HOT <= total).select("word", value)
+    is_hot = (F.col("n") * HOT > total) & (F.length("word") <= HOT_LETTERS)
+    hot, rest = words.where(is_hot), words.where(~is_hot).select("word", value)
     common = entries.join(F.broadcast(hot.select("word", value)), "word")
     rare = entries.join(F.broadcast(hot.select("word")), "word", "left_anti").join(rest, "word")
     dictionary = common.unionByName(rare).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("__d"))
