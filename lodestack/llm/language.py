@@ -67,6 +67,7 @@ _CODE = re.compile(r"[=<>{};]|\w\(|[a-z]_[a-z]", re.I)
 _CLAUSE = re.compile(r"^\s*(?:select|from|where|(?:group|order) by)\b[\w\s,.]{0,40}$", re.I)
 _FIELD = re.compile(r"^\s*[^\W\d]+(?: [^\W\d]+){0,2}\s?: (?:\S+\s?){1,9}$")
 _HAN = re.compile(r"[一-鿿]")
+_INSERT = re.compile(r" +\t[\t ]*|\t+ [\t ]*")
 
 
 def canonical_label(label: Column) -> Column:
@@ -79,6 +80,19 @@ def canonical_label(label: Column) -> Column:
     return F.coalesce(found, F.when(~text.isin(*NO_LANGUAGE) & text.rlike(r"\p{L}"), text))
 
 
+def is_row(line: str) -> bool:
+    """Whether a line is a row of a table: three or more cells by bars or tabs, by tabs most of them figures, codes or up to three words
+    without a stop. A run of tabs and blanks counts as a blank, as in prose, and empty cells are left out."""
+    if line.count(" | ") > 1:
+        return True
+    if line.count("\t") < 2:
+        return False
+    text = _INSERT.sub(" ", line.strip())
+    cells = [c for c in text.split("\t") if c.strip()]
+    few = sum(len(c.split()) <= 3 and not (len(c.split()) > 1 and c.rstrip()[-1] in ".!?…。！？") and len(_HAN.findall(c)) <= 6 for c in cells)
+    return text.count("\t") > 1 and len(cells) > 1 and few > len(cells) / 2
+
+
 def stretches(text: str) -> list[tuple[int, int, str, bool]]:
     """Sentences of a text: start, end, letters (lower case, one blank between words), and whether a stop ends it.
 
@@ -93,7 +107,7 @@ def stretches(text: str) -> list[tuple[int, int, str, bool]]:
             continue
         stopped = bool(re.search(r"[.!?…。！？][\"'”»)\s]*$", bare))
         clean = _NOISE.sub(lambda m: " " * len(m.group()), raw)
-        if fenced or raw.count(" | ") > 1 or raw.count("\t") > 1 or bare.startswith("#"):
+        if fenced or is_row(raw) or bare.startswith("#"):
             continue
         if not stopped and (_CODE.search(clean) or _CLAUSE.match(clean) or _FIELD.match(clean)):
             continue

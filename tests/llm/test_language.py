@@ -82,6 +82,18 @@ def test_what_does_not_count(model):
     assert languages(model, [spanish + extra, spanish + " Thornwick Memorial Hospital", "1.02, 3.4\n5", "", " \n ", "|||"]) == [{"es"}, {"es"}, set(), set(), set(), set()]
 
 
+def test_tab_runs_in_prose(model):
+    rng = random.Random(18)
+    for run in (" \t\t\t  ", "\t\t\t", "\t \t"):
+        for lang in L.LANGUAGES:
+            a, b = text(rng, lang, 1), text(rng, lang, 1)
+            joined = (a if lang == "zh" else a.rstrip(".")) + run + b
+            assert languages(model, [joined, run + a, joined + run + b]) == [{lang}] * 3, (run, lang)
+            assert L._merged(L.judged([joined], model)[0])[0]["lang"] == lang
+    rows = "facility_id\tcondition\tdischarges\tratio\n350031\tAMI\t72\t0.9133\nSaint Thornwick Hospital\tHF\t\tthe file was incomplete before the spring release\nSaint Thornwick Hospital\tAcute Care Hospitals\tof the county\n"
+    assert languages(model, [rows, text(rng, "es", 2) + "\n" + rows]) == [set(), {"es"}]
+
+
 def test_short_text_has_a_language(model):
     assert languages(model, ["The hospital."]) == [{"en"}]
 
