@@ -46,11 +46,12 @@ MOST_KEPT = 100_000
 #: Characters whose n-grams are handled at once.
 SLICE = 200_000
 
-#: A stretch that no stop ends, or longer than any sentence, is judged in windows of WINDOW words, every STEP words.
+#: For the fit, a stretch that no stop ends, or longer than any sentence, is cut into windows of WINDOW words, every STEP words.
 WINDOW, STEP, SENTENCE = 8, 4, 40
 
-#: Where languages meet without a stop, a single window must be this sure to count.
-ALONE = 0.9
+#: Where languages meet without a stop, a change costs so much of the words' evidence; a part must have so much more of it than
+#: its neighbours' languages have there, and be so sure or have very much more, to count.
+CHANGE, GAIN, ALONE, CLEAR = 2.0, 3.5, 0.85, 7.0
 
 #: A stretch is rejected below this part of the score that all but 2 % of its language's training sentences reach, or
 #: if the next language comes closer than MARGIN.
@@ -62,7 +63,7 @@ LEAST_WORDS, LEAST_OPEN = 3, 5
 _NOISE = re.compile(r"<[^<>\n]{1,24}>|&(?:amp;)?#?\w{1,8};|\bnbsp;|\[[A-Z]{2,6}\]|(.)\1{4,}|Ã[ƒ\x80-\xbf]\S{0,3}|Â[\x80-\xbf]")
 _OTHER = re.compile(r"[^¿¡a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]+")
 _LINE = re.compile(r"[^\r\n  ]+")
-_STOP = re.compile(r"(?<![Ss]t\.)(?<!ST\.)(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])")
+_STOP = re.compile(r"(?<![Ss]t\.)(?<!ST\.)(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])|\s/\s+")
 _CODE = re.compile(r"[=<>{};]|\w\(|[a-z]_[a-z]", re.I)
 _CLAUSE = re.compile(r"^\s*(?:select|from|where|(?:group|order) by)\b[\w\s,.]{0,40}$", re.I)
 _FIELD = re.compile(r"^\s*[^\W\d]+(?: [^\W\d]+){0,2}\s?: (?:\S+\s?){1,9}$")
@@ -129,9 +130,14 @@ def words_of(letters: str) -> float:
     return len(_HAN.findall(letters)) / 2 + sum(len(w) > 1 and not _HAN.search(w) for w in words)
 
 
+def tokens_of(letters: str) -> list[str]:
+    """Words, of Chinese pairs of signs."""
+    return re.findall(r"[一-鿿]{1,2}|[^\s一-鿿]+", letters)
+
+
 def windows(start: int, end: int, letters: str, stopped: bool) -> list[tuple[int, int, str]]:
     """A stretch that may hold several sentences in overlapping windows; their places in the text are in proportion."""
-    tokens = re.findall(r"[一-鿿]{1,2}|[^\s一-鿿]+", letters)
+    tokens = tokens_of(letters)
     if len(tokens) <= (SENTENCE if stopped else WINDOW + STEP):
         return [(start, end, letters)]
     scale = (end - start) / len(tokens)
@@ -193,6 +199,8 @@ class Model:
     centroids: np.ndarray
     floors: np.ndarray
     seen: dict[str, tuple[int, float]] = field(default_factory=dict)
+    words: dict[str, np.ndarray] = field(default_factory=dict)
+    places: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
 
     def vectors(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = []
@@ -237,6 +245,73 @@ class Model:
         return [self.seen[r] for r in rows]
 
 
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """What each word by itself says for each language. No n-gram reaches over words, so a text's n-grams are its words'."""
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if len(self.words) + len(new) > MOST_KEPT:
+            self.words.clear()
+            new = list(dict.fromkeys(words))
+        for at, some in slices(new):
+            row, feature, count = grams(some)
+            near = self.nearness(row, feature, (self.idf[feature] * count).astype(np.float32), len(some))
+            self.words.update(zip(some, near.reshape(len(some), len(LANGUAGES), -1).max(axis=2)))
+        return np.array([self.words[w] for w in words], np.float32)
+
+    def paths(self, rows: list[list[str]]) -> list[np.ndarray]:
+        """The languages of each row's words that have most evidence, less ``CHANGE`` for every change (Viterbi's algorithm)."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(rows)
+        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+        while order:
+            longest = len(rows[order[0]])
+            some, order = order[: max(1, SLICE // 4 // longest)], order[max(1, SLICE // 4 // longest) :]
+            sizes = np.array([len(rows[i]) for i in some])
+            given = np.zeros((len(some), longest, len(LANGUAGES)), np.float32)
+            given[np.arange(longest) < sizes[:, None]] = self.evidence([w for i in some for w in rows[i]])
+            stay, come = np.ones((longest, len(some), len(LANGUAGES)), bool), np.zeros((longest, len(some)), np.int64)
+            best = given[:, 0].copy()
+            for t in range(1, longest):
+                a = int((sizes > t).sum())
+                come[t, :a] = best[:a].argmax(axis=1)
+                other = best[np.arange(a), come[t, :a]][:, None] - CHANGE
+                stay[t, :a] = best[:a] >= other
+                best[:a] = np.maximum(best[:a], other) + given[:a, t]
+            path, now, every = np.empty((longest, len(some)), np.int64), best.argmax(axis=1), np.arange(len(some))
+            for t in range(longest - 1, -1, -1):
+                path[t] = now
+                now = np.where(stay[t, every, now], now, come[t])
+            for k, i in enumerate(some):
+                out[i] = path[: sizes[k], k]
+        return out
+
+    def divide(self, rows: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Each row in parts (first word, end, letters) of different languages that count by themselves; what lies between
+        goes to the part before. A row in one language is one part."""
+        new = [r for r in dict.fromkeys(rows) if r not in self.places]
+        if len(self.places) + len(new) > MOST_KEPT:
+            self.places.clear()
+            new = list(dict.fromkeys(rows))
+        words = [tokens_of(r) for r in new]
+        parts: list[list[tuple[int, int]]] = []
+        gains: list[float] = []
+        for w, path in zip(words, self.paths(words)):
+            edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
+            parts.append(list(zip(edges, edges[1:])) if len(edges) > 2 else [])
+            for a, b in parts[-1]:
+                total = self.evidence(w[a:b]).sum(axis=0)
+                gains.append(float(total[path[a]] - max(total[path[i]] for i in (a - 1, b) if 0 <= i < len(path))))
+        tried = [_join(w[a:b]) for w, some in zip(words, parts) for a, b in some]
+        found = iter(list(zip(tried, gains, self.judge(tried))))
+        for row, w, some in zip(new, words, parts):
+            kept: list[tuple[int, int]] = []
+            for (a, _), (piece, gain, (lang, sure)) in zip(some, [next(found) for _ in some]):
+                counts = lang >= 0 and words_of(piece) >= LEAST_WORDS and gain >= GAIN and (sure >= ALONE or gain >= CLEAR)
+                if counts and (not kept or kept[-1][1] != lang):
+                    kept.append((a if kept else 0, lang))
+            starts = [a for a, _ in kept] if len(kept) > 1 else [0]
+            self.places[row] = list(zip(starts, [*starts[1:], len(w)]))
+        return [[(a, b, _join(w[a:b])) for a, b in p] if len(p := self.places[r]) > 1 and (w := tokens_of(r)) else [(*p[0], r)] for r in rows]
+
+
 def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """In how many texts of the whole corpus each feature occurs. Every task adds up its own counts, of a fixed
     number of features, before they are added together."""
@@ -319,29 +394,21 @@ class Stretch:
     sure: float
     cut: bool
     stopped: bool = True
-    windows: int = 1
 
 
 def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
-    """The stretches of each text; neighbouring windows of a language that no stop divides are one."""
+    """The stretches of each text, divided where languages meet without a stop; places there are in proportion to words."""
+    whole = [(i, *stretch) for i, text in enumerate(texts) for stretch in stretches(text)]
     rows: list[str] = []
-    where: list[tuple[int, int, int, int, bool, bool]] = []
-    for i, text in enumerate(texts):
-        for k, (start, end, letters, stopped) in enumerate(stretches(text)):
-            parts = windows(start, end, letters, stopped)
-            for a, b, piece in parts:
-                rows.append(piece)
-                where.append((i, k, a, b, len(parts) > 1, stopped))
-    found = model.judge(rows)
+    where: list[tuple[int, int, int, bool, bool]] = []
+    for (i, start, end, _, stopped), parts in zip(whole, model.divide([letters for *_, letters, _ in whole])):
+        scale = (end - start) / max(1, parts[-1][1])
+        for a, b, piece in parts:
+            rows.append(piece)
+            where.append((i, start + int(a * scale), start + int(b * scale), len(parts) > 1, stopped))
     out: list[list[Stretch]] = [[] for _ in texts]
-    previous: tuple[int, int] | None = None
-    for (i, k, a, b, cut_, stopped), piece, (lang, s) in zip(where, rows, found):
-        last = out[i][-1] if out[i] else None
-        if previous == (i, k) and last is not None and last.lang == lang:
-            last.end, last.words, last.sure, last.windows = b, last.words + words_of(piece) / 2, max(last.sure, s), last.windows + 1
-        else:
-            out[i].append(Stretch(a, b, words_of(piece), lang, s, cut_, stopped))
-        previous = (i, k)
+    for (i, a, b, cut, stopped), piece, (lang, sure) in zip(where, rows, model.judge(rows)):
+        out[i].append(Stretch(a, b, words_of(piece), lang, sure, cut, stopped))
     short = [i for i, found in enumerate(out) if found and not counted(found)]
     if short:
         # Nothing is near enough or long enough by itself: the nearest language of all words together.
@@ -357,11 +424,11 @@ def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
 
 
 def counted(found: list[Stretch]) -> dict[int, tuple[float, float]]:
-    """Languages that count in a text: words and confidence. A language needs a whole sentence: a stretch of its own, or,
-    where languages meet without a stop, more than one window or a clear one."""
+    """Languages that count in a text: words and confidence. A language needs a whole sentence: a stretch of its own, or a
+    part of one where languages meet without a stop."""
     out: dict[int, tuple[float, float]] = {}
     for s in found:
-        if s.lang >= 0 and s.words >= (LEAST_WORDS if s.stopped else LEAST_OPEN) and (not s.cut or s.windows > 1 or s.sure >= ALONE):
+        if s.lang >= 0 and s.words >= (LEAST_WORDS if s.stopped or s.cut else LEAST_OPEN):
             words, sure = out.get(s.lang, (0.0, 0.0))
             out[s.lang] = (words + s.words, max(sure, s.sure))
     return out

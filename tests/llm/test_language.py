@@ -94,6 +94,21 @@ def test_tab_runs_in_prose(model):
     assert languages(model, [rows, text(rng, "es", 2) + "\n" + rows]) == [set(), {"es"}]
 
 
+def test_languages_that_meet_without_a_stop(model):
+    rng = random.Random(19)
+    bare = lambda lang: sentence(rng, lang).rstrip(".。").lower()
+    cases, alone = [], []
+    for _ in range(100):
+        a, b = rng.sample([x for x in L.LANGUAGES if x != "zh"], 2)
+        short = " ".join(bare(b).split()[:6])
+        cases += [({a, b}, bare(a) + join + bare(b) + "!") for join in (" ", " / ")]
+        cases.append(({a, b}, " ".join([bare(a), bare(a), short, bare(a), bare(a)])))
+        alone += [({a}, " ".join(bare(a) for _ in range(4)) + end) for end in ("", "!")]
+    for some in (cases, alone):
+        got = languages(model, [t for _, t in some])
+        assert sum(g == w for g, (w, _) in zip(got, some)) >= 0.95 * len(some)
+
+
 def test_short_text_has_a_language(model):
     assert languages(model, ["The hospital."]) == [{"en"}]
 
