@@ -42,6 +42,11 @@ def repaired(text: str) -> str:
     return text
 
 
+def block_key(block: str) -> str:
+    """A block in capitals, without blanks around it."""
+    return block.strip().upper()
+
+
 def name_key(text: str, block: str = "") -> tuple[str, str]:
     """The letters of a county name, and the kind of area it names (county, city or empty).
 
@@ -137,7 +142,7 @@ class Matcher:
         for block, name, entry in sorted((b, n, e) for e, b, n in entries if e is not None and b is not None and n is not None):
             key, kind = name_key(name)
             if key:
-                self.tries.setdefault(block.strip().upper(), Trie()).add(key, kind or "county", entry)
+                self.tries.setdefault(block_key(block), Trie()).add(key, kind or "county", entry)
                 self.elsewhere.add(key)
         self.seen: dict[tuple[str, str], list[tuple[str, str, int]]] = {}
 
@@ -145,7 +150,7 @@ class Matcher:
         """(entry, method, distance) of every entry that the value may mean, the best first; none if it names none."""
         if value is None or not value.strip() or block is None:
             return []
-        block = block.strip().upper()
+        block = block_key(block)
         if (block, value) not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
@@ -192,7 +197,7 @@ def match_entries(values: DataFrame, reference: DataFrame, key: str, block: str,
 
     The values stay where they are: every task searches its own, each distinct one of a batch once. The list goes to
     the tasks if it has at most ``BROADCAST_ENTRIES`` entries; a longer one is grouped with the values by block,
-    the values salted, so that a hot block is searched by many tasks.
+    the values salted, so that a hot block is searched by many tasks. Both ways give the same.
     """
     rows = values.select(F.col(key).alias("__k"), F.col(block).alias("__b"), F.col(value).alias("__v"))
     names = reference.select(F.col(entry).alias("e"), F.col(block).alias("b"), F.col(name).alias("n")).distinct()
@@ -208,18 +213,24 @@ def match_entries(values: DataFrame, reference: DataFrame, key: str, block: str,
         found = rows.mapInPandas(search, shape)
     else:
         # Names of other blocks are looked up by a join here, as no task holds them all.
-        keys = F.pandas_udf(lambda n: n.map(lambda x: name_key(x)[0] if isinstance(x, str) else None), "string")
-        salted = rows.withColumn("__s", F.pmod(F.xxhash64("__v"), F.lit(SALTS)))
-        copies = names.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        def keys_of(names: pd.Series, blocks: pd.Series) -> pd.Series:
+            return pd.Series([name_key(n, b if isinstance(b, str) else "")[0] if isinstance(n, str) else None for n, b in zip(names, blocks)], dtype=object)
+
+        keys = F.pandas_udf(keys_of, "string")
+        blocks = F.pandas_udf(lambda b: b.map(lambda x: block_key(x) if isinstance(x, str) else None), "string")
+        names = names.where("e is not null and b is not null and n is not null")
+        salted = rows.withColumns({"__s": F.pmod(F.xxhash64("__v"), F.lit(SALTS)), "__bk": blocks("__b")})
+        copies = names.withColumn("bk", blocks("b")).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
         def grouped(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return _matched(left, Matcher(list(right[["e", "b", "n"]].itertuples(index=False, name=None))))
 
-        found = salted.groupBy("__b", "__s").cogroup(copies.groupBy("b", "__s")).applyInPandas(grouped, shape)
-        known = names.select(keys("n").alias("__known")).distinct()
-        found = found.withColumn("__key", keys("__v")).join(known, F.col("__key") == F.col("__known"), "left")
+        found = salted.groupBy("__bk", "__s").cogroup(copies.groupBy("bk", "__s")).applyInPandas(grouped, shape)
+        known = names.select(keys("n", F.lit("")).alias("__known")).distinct()
+        found = found.withColumn("__key", keys("__v", blocks("__b"))).join(known, F.col("__key") == F.col("__known"), "left")
         wrong = F.col("__known").isNotNull() & (F.col("method") != "exact")
-        found = found.withColumns({"entry": F.when(~wrong, F.col("entry")), "method": F.when(wrong, "unmatched").otherwise(F.col("method"))})
+        none = {"entry": F.lit(None), "method": F.lit("unmatched"), "distance": F.lit(None), "candidates": F.array()}
+        found = found.withColumns({c: F.when(wrong, x.cast(found.schema[c].dataType)).otherwise(F.col(c)) for c, x in none.items()})
     return found.select(F.col("__k").alias(key), F.col("__b").alias(block), F.col("__v").alias(value), F.col("entry").alias(entry), "method", "distance", "candidates")
 
 

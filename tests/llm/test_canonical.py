@@ -74,3 +74,18 @@ def test_long_lists_are_grouped_by_block(frames, monkeypatch):
 def test_nothing(frames):
     assert C.county_links(frames[0].limit(0), frames[1]).count() == 0
     assert {r["county_fips"] for r in C.county_links(frames[0], frames[1].limit(0)).collect()} == {None}
+
+
+def test_long_lists_match_as_short_ones(spark, rows, monkeypatch):
+    values = ["Stavonton", "Stavontn", "Krugofield County", "Krugofield, AA", "Krugofield (AA)", "Ashtox", "Lachulhav", "Ashtonn", "Nowhere", "Nowherf", "unknown", " ", None]
+    blocks = ["AA", "aa", " AA ", "AA\t", "\u00a0aa", "BB", "bb", "ZZ", "", None]
+    left = spark.createDataFrame([(f"{i}-{j}", b, v) for i, b in enumerate(blocks) for j, v in enumerate(values)], "id string, state string, county string")
+    entries = [*ENTRIES, ("11", "aa ", "Krugofielt County"), ("12", "BB", "Ashtonn"), ("13", " bb", "Lachulhaven"), (None, "BB", "Stavontn"), ("14", None, "Lachulhav"), ("15", "AA", None), ("16", "AA", "Nowhere")]
+    right = spark.createDataFrame(entries, "fips string, block string, name string")
+    right = right.withColumnRenamed("block", "state")
+    run = lambda: rows(C.match_entries(left, right, "id", "state", "county", "fips", "name"))
+    short = run()
+    monkeypatch.setattr(C, "BROADCAST_ENTRIES", 3)
+    assert len(short) == left.count() and run() == short
+    matched = {r[0]: r[3] for r in short}
+    assert [matched[f"{i}-0"] for i in range(4)] == ["1"] * 4 and matched["0-2"] is matched["0-3"] is None
