@@ -61,7 +61,7 @@ def naive_splits(df: DataFrame, seed: int = 0) -> dict[str, tuple[DataFrame, Dat
     return {"random": (known.where(~mixed), known.where(mixed)), "overlap": (df.where(F.col("split") != "test"), df.where(F.col("split") == "test"))}
 
 
-def run(df: DataFrame, features: Sequence[str], target: str, families: Sequence[str] = tuple(FAMILIES), k: int = 5, draws: int = 200, grids: Mapping[str, Sequence[Mapping]] | None = None) -> dict:
+def run(df: DataFrame, features: Sequence[str], target: str, families: Sequence[str] = tuple(FAMILIES), k: int = 5, draws: int = 1000, grids: Mapping[str, Sequence[Mapping]] | None = None) -> dict:
     """Baselines and families, tuned on training years and scored on the test year, as one report."""
     train, test = honest_split(df)
     fill = F.lit(train.agg(F.avg(target)).first()[0])

@@ -628,7 +628,7 @@ def bootstrap_draws(spark, d):
     from lodestack.ml.metrics import bootstrap
 
     test = _features(spark, d).where("split = 'test' and dual_proportion is not null")
-    return bootstrap(test, ["dual_proportion"], "auc_top_quarter", n=50)
+    return bootstrap(test, ["dual_proportion"], "auc_top_quarter")
 
 
 @query("select event_type, count(*) as n, round(sum(value), 2) as total from events group by all")

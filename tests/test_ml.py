@@ -95,6 +95,16 @@ def test_bootstrap(years):
         M.bootstrap(years, [TARGET], "spearman")
 
 
+def test_a_thousand_draws(spark):
+    import inspect
+
+    from lodestack.queries import relational
+
+    draws = relational.bootstrap_draws(spark, "/root/testdata/sf0.001")
+    assert draws.select("draw").distinct().count() == draws.count() == 1000
+    assert inspect.signature(N.run).parameters["draws"].default == 1000
+
+
 def test_folds_and_choice(years):
     folds = N.grouped_folds(years).groupBy("facility_id").agg(F.count_distinct("fold").alias("n"))
     assert folds.where("n > 1").count() == 0
