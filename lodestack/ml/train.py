@@ -17,11 +17,11 @@ from lodestack.ml.roles import honest_split
 
 Fit = Callable[..., Fitted]
 
-#: Families from the simplest on, with the settings that are tried.
+#: Families from the simplest on, with the settings that are tried. Depths 3, 4 and 5 stand for at most 7, 15 and 31 leaves.
 FAMILIES: dict[str, tuple[Fit, list[dict]]] = {
-    "ridge": (fit_ridge, [{"alpha": a} for a in (0.1, 1.0, 10.0, 100.0, 300.0, 1000.0)]),
+    "ridge": (fit_ridge, [{"alpha": a} for a in (0.1, 1.0, 10.0, 100.0, 300.0, 1000.0, 10000.0)]),
     "additive": (fit_additive, [{}]),
-    "trees": (fit_trees, [{"depth": d, "trees": t} for d in (3, 4) for t in (40, 80)]),
+    "trees": (fit_trees, [{"depth": d, "least": n, "trees": t, "step": 0.02} for d in (3, 4, 5) for n in (50, 200) for t in (300, 600)]),
 }
 
 #: A simpler family is chosen if it is at most so much worse.

@@ -622,6 +622,20 @@ def ridge_scores(spark, d):
     return fit_ridge(train, FEATURES, "payment_reduction_pct").score(test).select("facility_id", "fiscal_year", "payment_reduction_pct", F.round("score", 6).alias("score"))
 
 
+@query()
+def tuned_ridge_scores(spark, d):
+    """Scores for the latest year of the linear model whose penalty ranks best over five folds of the training years."""
+    from lodestack.ml.models import fit_ridge
+    from lodestack.ml.roles import honest_split
+    from lodestack.ml.train import tune
+
+    ensure_checkpoint_dir(spark)
+    train, test = honest_split(_features(spark, d).checkpoint())
+    params, auc = tune("ridge", train, FEATURES, "payment_reduction_pct")
+    scored = fit_ridge(train, FEATURES, "payment_reduction_pct", **params).score(test)
+    return scored.select("facility_id", "fiscal_year", "payment_reduction_pct", F.lit(params["alpha"]).alias("alpha"), F.lit(round(auc, 6)).alias("cv_auc"), F.round("score", 6).alias("score"))
+
+
 @query()
 def bootstrap_draws(spark, d):
     """Areas under the curve of the own share of dual patients, on resampled hospitals of the latest year."""

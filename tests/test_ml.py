@@ -105,6 +105,15 @@ def test_a_thousand_draws(spark):
     assert inspect.signature(N.run).parameters["draws"].default == 1000
 
 
+def test_surveyed_grids():
+    from lodestack.queries import relational
+
+    assert {0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0} <= {p["alpha"] for p in N.FAMILIES["ridge"][1]}
+    trees = N.FAMILIES["trees"][1]
+    assert len({tuple(p.values()) for p in trees}) == 12 and {p["trees"] for p in trees} == {300, 600} and {p["least"] for p in trees} == {50, 200} and {2 ** p["depth"] for p in trees} == {8, 16, 32}
+    assert "tuned_ridge_scores" in relational.QUERIES
+
+
 def test_folds_and_choice(years):
     folds = N.grouped_folds(years).groupBy("facility_id").agg(F.count_distinct("fold").alias("n"))
     assert folds.where("n > 1").count() == 0
