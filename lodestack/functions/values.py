@@ -42,7 +42,7 @@ def clean_text(c: Column | str) -> Column:
 
 def squash(c: Column | str) -> Column:
     """A text apart from case and blanks: lower case, one blank between words; null for null and markers."""
-    return F.when(~is_marker(c), F.lower(F.regexp_replace(stripped(c), r"[\s ]+", " ")))
+    return F.when(~is_marker(c), F.lower(F.regexp_replace(stripped(c), r"[\s\u00a0]{2,}|[\t\r\n\x0b\f\u00a0]", " ")))
 
 
 def to_number(c: Column | str, kind: str = "double") -> Column:
@@ -61,7 +61,7 @@ def try_number(c: Column | str, kind: str = "double") -> Column:
 def number_key(c: Column | str) -> Column:
     """One text for each number however it is written (``1,360``, ``1360.0``, `` 1360 %``); other texts
     in lower case; null for null and markers. For comparing values, not spellings."""
-    text = F.regexp_replace(stripped(c), r"[,%\s]", "")
+    text = F.regexp_replace(_col(c), r"[,%\s\u00a0]", "")
     return F.when(~is_marker(c), F.coalesce(text.try_cast("decimal(38,10)").cast("string"), F.lower(text)))
 
 
@@ -72,8 +72,11 @@ def to_date_us(c: Column | str) -> Column:
 
 def facility_number(c: Column | str) -> Column:
     """The six-character hospital number: no blanks, upper case, lost leading zeros restored; null if blank."""
-    text = F.upper(F.regexp_replace(_col(c).cast("string"), r"[\s ]", ""))
-    return F.when(F.length(text) > 0, F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text))
+    own = _col(c).cast("string")
+    text = F.upper(F.regexp_replace(own, r"[\s\u00a0]", ""))
+    padded = F.lpad(text, F.greatest(F.length(text), F.lit(6)), F.lit("0"))
+    # Most are as they should be; the rest of the expression is for the others.
+    return F.when(own.rlike("^[0-9A-Z]{6}$"), own).when(own.rlike(r"[^\s\u00a0]"), padded)
 
 
 def fold_accents(c: Column | str) -> Column:
@@ -88,16 +91,3 @@ def clean_county_name(c: Column | str) -> Column:
     name = F.regexp_replace(name, r"\bSAINT ", "ST ")
     name = F.regexp_replace(name, rf" (?:{'|'.join(COUNTY_WORDS)})$", "")
     return F.regexp_replace(name, " ", "")
-
-
-def release_kind(value: Column) -> Column:
-    """text, integer, decimal or boolean for a JSON value held as a variant; null for null and markers."""
-    name = F.schema_of_variant(value)
-    return (
-        F.when(name == "VOID", None)
-        .when(name == "STRING", F.when(~is_marker(F.try_variant_get(value, "$", "string")), F.lit("text")))
-        .when(name == "BOOLEAN", F.lit("boolean"))
-        .when(name == "BIGINT", F.lit("integer"))
-        .when(name.startswith("DECIMAL") | name.isin("DOUBLE", "FLOAT"), F.lit("decimal"))
-        .otherwise(F.lit("text"))
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.operators.ranking import last_row
+from lodestack.operators.ranking import content_hash, last_hash
 
 
 def snapshot_index(df: DataFrame, snapshot: str) -> DataFrame:
@@ -29,15 +29,17 @@ def snapshot_changes(df: DataFrame, snapshot: str, keys: list[str], values: list
     differs is a change, and a gap between places is a removal after the one and an addition at the other.
     So any number of snapshots takes one shuffle by key, on keys far finer than any hot source or state.
 
-    Of several rows of a key in a snapshot the last by ``order`` holds. Null values equal null. Rows with
-    a null snapshot or a null in a key column cannot be placed and are left out; the first snapshot has
-    no changes, and an empty table or a single snapshot gives no rows. Other columns are ignored.
+    Of several rows of a key in a snapshot the last by ``order`` holds. Null values equal null, and nothing
+    else: the hash takes in which columns are null. Rows with a null snapshot or a null in a key column
+    cannot be placed and are left out; the first snapshot has no changes, and an empty table or a single
+    snapshot gives no rows. Other columns are ignored. Only hashes of 63 bits are shuffled; two different
+    contents of one key in neighbouring snapshots look equal with a chance of one in 2**63.
     """
     known = F.lit(True)
     for c in [snapshot, *keys]:
         known &= F.col(c).isNotNull()
-    held = last_row(df.where(known), [snapshot, *keys], values, order)
-    rows = held.select(snapshot, *keys, F.xxhash64(*values).alias("__hash")).join(snapshot_index(df.where(known), snapshot), snapshot)
+    held = last_hash(df.where(known), [snapshot, *keys], content_hash(values), order)
+    rows = held.join(F.broadcast(snapshot_index(df, snapshot)), snapshot)
     w = Window.partitionBy(*keys).orderBy("__i")
     before, after = F.lag("__i").over(w), F.lead("__i").over(w)
     rows = rows.withColumns({"__before": before, "__after": after, "__was": F.lag("__hash").over(w)})

@@ -27,6 +27,7 @@ def local_session(name: str = "lodestack", cores: str = "8", partitions: int = 8
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | extra
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -39,25 +40,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Bytes a core below which an input of few files is dealt to all cores.
-SMALL = 16 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for work that takes far longer than its reading: if it has fewer files than there are cores and is small (as
-    planned, on disk), its rows are dealt to all cores; a large input is read in enough parts anyway and stays."""
+    """``df`` for work that takes far longer than its reading: a scan of fewer parts than there are cores, whatever its size,
+    is dealt to all cores, as few files or files of one row group cannot be read in more parts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL and 0 < len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own setting, and a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder for checkpoints: the cluster's own setting. Where it is unset, a session on one machine (tests, benchmarks)
+    gets a temporary one; on a cluster that is an error, as no folder of one machine is seen by all."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = named or tempfile.mkdtemp(prefix="lodestack-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestack-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -1,6 +1,8 @@
 import datetime
 import random
 
+import pytest
+
 from lodestack.operators.history import validity_history
 from lodestack.operators.snapshots import snapshot_changes
 
@@ -38,6 +40,19 @@ def test_changes_against_sets(spark):
     assert changes(spark, rows) == sorted(want)
 
 
+def test_a_null_that_moves_is_a_change(spark):
+    """A value that moves to the next column, or turns into a null beside one."""
+    rows = [("1", "x", "k", None, "v", 1), ("2", "x", "k", "v", None, 1), ("1", "y", "k", "v", None, 1), ("2", "y", "k", None, None, 1), ("1", "z", "k", None, None, 1), ("2", "z", "k", None, None, 2)]
+    assert changes(spark, rows) == [("2", "x", "k", "changed"), ("2", "y", "k", "changed")]
+
+
+@pytest.mark.parametrize("order", [["at"], ["n"], ["day"], ["at", "n"], ["s"]])
+def test_last_row_by_any_order(spark, order):
+    rows = [("1", "x", "old", 1), ("1", "x", "new", 3), ("1", "x", "mid", 2), ("2", "x", "new", 1), ("1", "y", "a", None), ("1", "y", "b", -5), ("2", "y", "b", None)]
+    df = spark.createDataFrame([(*r, DAY + datetime.timedelta(hours=r[3]) if r[3] is not None else None, DAY.date() + datetime.timedelta(days=r[3]) if r[3] is not None else None, None if r[3] is None else f"{r[3] + 9:02d}") for r in rows], "release string, id string, a string, n int, at timestamp, day date, s string")
+    assert snapshot_changes(df, "release", ["id"], ["a"], order).count() == 0
+
+
 def test_changes_of_nothing(spark):
     assert changes(spark, [("1", "x", "k", "v", None, 1), (None, "x", "k", "v", None, 1), ("1", None, "k", None, None, 1)]) == []
     assert snapshot_changes(snaps(spark, [("1", "x", "k", "v", None, 1)]).limit(0), "release", ["id", "kind"], ["a", "b"], ["at"]).count() == 0
