@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.ranking import positions
+from lodestack.session import cut
 
 #: A set of equal containers: how many, and how many items of each size are in one.
 Pattern = tuple[int, dict[int, int]]
@@ -158,15 +159,17 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     An item larger than the capacity is cut into pieces that fill a container each, and the remainder; no other item
     is cut. Items of the same size are alike, so a packing is made for the histogram of sizes alone, which has at most
     ``capacity`` rows however many items there are, and is then dealt to the items by their rank within
-    their size. Ranks are made by a distributed sort, so a hot size is no problem. Items of size 0 (or null)
+    their size. Ranks are made by a distributed sort, so a hot size is no problem. The sizes are checkpointed before it and
+    the histogram is taken from the sorted rows, so texts are measured once. Items of size 0 (or null)
     need no space and are spread over all containers; if there are no others, they share container 0.
     """
+    items = cut(items.select(key, size))
     whole = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
     pieces = F.greatest(F.ceil(whole / F.lit(capacity)), F.lit(1)).cast("bigint")
     rows = items.select(F.col(key).alias("__k"), whole.alias("__all"), F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)).alias("piece"))
     rows = rows.withColumn("__size", F.least(F.col("__all") - F.col("piece") * capacity, F.lit(capacity).cast("bigint"))).withColumn("__mix", F.xxhash64("__k", "piece"))
     placed = positions(rows, ["__size"], ["__mix", "__k", "piece"])
-    counts = {r["__size"]: r["n"] for r in rows.where(F.col("__size") > 0).groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["__size"]: r["n"] for r in placed.where(F.col("__size") > 0).groupBy("__size").agg(F.count(F.lit(1)).alias("n")).collect()}
     table, total = _lookup(plan(counts, capacity))
     shift = np.int64(1) << 44
     firsts = (table["size"] * shift + table["rank"]).to_numpy("int64")
