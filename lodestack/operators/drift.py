@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.values import clean_text, facility_number, is_marker, release_kind
+from lodestack.functions.values import clean_text, facility_number, is_marker
 from lodestack.session import cut
 
 FILE = ["source", "feed_id", "release_label"]
@@ -63,9 +63,13 @@ CASTS = {
 }
 
 
-def comparable(value: Column) -> Column:
-    """One text for a JSON value however a release writes it: 97, 97.0 and "97", or Yes, "Y" and true."""
-    text = F.lower(clean_text(F.try_variant_get(value, "$", "string")))
+#: Most versions whose fields are sent to every task; more are joined by a shuffle. Both ways give the same.
+BROADCAST_STEPS = 50_000
+
+
+def comparable(value: Column | str) -> Column:
+    """One text for a JSON value's text however a release writes it: 97, 97.0 and "97", or Yes, "Y" and true."""
+    text = F.lower(clean_text(value))
     number = F.regexp_replace(text, ",", "").try_cast("double")
     return (
         F.when(text.isin("yes", "y", "true"), "true")
@@ -74,113 +78,144 @@ def comparable(value: Column) -> Column:
     )
 
 
+def _json() -> Column:
+    return F.from_json("payload", "map<string,variant>")
+
+
 def parsed(df: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, the file's key and ``__fields``, a map from each field of the payload to its JSON value."""
     for c in FILE:
         df = df.where(F.col(c).isNotNull())
-    return df.select(*FILE, *[c for c in keep if c not in FILE], F.from_json("payload", "map<string,variant>").alias("__fields"))
+    return df.select(*FILE, *[c for c in keep if c not in FILE], _json().alias("__fields"))
 
 
 def field_profile(rows: DataFrame) -> DataFrame:
     """For each file and field: its type and what speaks for it being the hospital number. Types: text if any
     value is JSON text, else decimal, integer or boolean; null if nulls and markers are all there is."""
     cells = rows.select(*FILE, F.explode_outer("__fields").alias("field", "__v"))
-    text = F.upper(F.regexp_replace(F.try_variant_get("__v", "$", "string"), r"\s", ""))
-    cells = cells.withColumns({"__kind": release_kind(F.col("__v")), "__text": text})
-    has = lambda kind: F.max((F.col("__kind") == kind).cast("int")) == 1
-    profile = cells.groupBy(*FILE, "field").agg(
-        F.when(has("text"), "text").when(has("decimal"), "decimal").when(has("integer"), "integer").when(has("boolean"), "boolean").alias("kind"),
-        F.avg(F.when(F.col("__kind").isNotNull(), F.col("__text").rlike("^[0-9][0-9A-Z]{5}$").cast("double"))).alias("__six"),
-        F.avg(F.when(F.col("__kind").isNotNull(), F.col("__text").rlike("^[0-9][0-9A-Z]{3,5}$").cast("double"))).alias("__near"),
+    cells = cells.select(*FILE, "field", F.schema_of_variant("__v").alias("__type"), F.try_variant_get("__v", "$", "string").alias("__text"))
+    kind = F.col("__type")
+    rank = (
+        F.when(kind == "STRING", F.when(~is_marker("__text"), 4))
+        .when(kind == "BIGINT", 2)
+        .when(kind == "BOOLEAN", 1)
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), 3)
+        .when(kind != "VOID", 4)
     )
+    cells = cells.select(*FILE, "field", rank.alias("__rank"), "__text")
+    form = lambda pattern: F.avg(F.when(F.col("__rank").isNotNull(), F.col("__text").rlike(rf"(?i)^\s*{pattern}\s*$").cast("double")))
+    profile = cells.groupBy(*FILE, "field").agg(F.max("__rank").alias("__rank"), form("[0-9][0-9A-Z]{5}").alias("__six"), form("[0-9][0-9A-Z]{3,5}").alias("__near"))
     named = F.lower(F.regexp_replace(F.trim("field"), r"\s+", " ")).isin(*ID_NAMES)
-    return profile.withColumn("__id_score", F.struct(F.coalesce(named, F.lit(False)).alias("named"), F.coalesce("__six", F.lit(0.0)).alias("six"), F.coalesce("__near", F.lit(0.0)).alias("near"), "field"))
-
-
-def file_sequence(profile: DataFrame) -> DataFrame:
-    """One row per file: its field with the hospital number and the release before of its source and feed."""
-    files = profile.groupBy(*FILE).agg(F.max_by("field", "__id_score").alias("__id"))
-    return files.withColumn("__prev", F.lag("release_label").over(Window.partitionBy("source", "feed_id").orderBy("release_label")))
-
-
-def field_transitions(profile: DataFrame, files: DataFrame) -> DataFrame:
-    """Each file with a release before it, and each field of the two: its types before and after."""
-    has_field = profile.where(F.col("field").isNotNull())
-    steps = files.where(F.col("__prev").isNotNull()).select(*FILE, "__prev")
-    now = steps.join(has_field.select(*FILE, "field", "kind"), FILE)
-    then = steps.join(has_field.select("source", "feed_id", F.col("release_label").alias("__prev"), "field", "kind"), ["source", "feed_id", "__prev"])
-    now = now.select(*FILE, "__prev", "field", F.col("kind").alias("__now"), F.lit(True).alias("__in_now"))
-    then = then.select(*FILE, "__prev", "field", F.col("kind").alias("__then"), F.lit(True).alias("__in_then"))
-    return now.join(then, [*FILE, "__prev", "field"], "full_outer")
-
-
-def _renames(rows: DataFrame, files: DataFrame, moved: DataFrame) -> DataFrame:
-    """Pairs of a field that left and one that came: the pairs with the largest share of kept values, one to one."""
-    steps = moved.groupBy(*FILE, "__prev").agg(
-        F.collect_set(F.when(F.col("__in_now").isNull(), F.col("field"))).alias("__left"), F.collect_set(F.when(F.col("__in_then").isNull(), F.col("field"))).alias("__came")
-    )
-    steps = steps.where((F.size("__left") > 0) & (F.size("__came") > 0))
-    step = F.struct(*FILE)
-    wanted = steps.select("source", "feed_id", F.col("__prev").alias("release_label"), step.alias("__step"), F.col("__left").alias("__names"), F.lit(0).alias("__side"))
-    wanted = wanted.unionByName(steps.select(*FILE, step.alias("__step"), F.col("__came").alias("__names"), F.lit(1).alias("__side")))
-    wanted = wanted.join(files.select(*FILE, "__id"), FILE)
-    cells = rows.join(wanted, FILE).select(
-        "__step",
-        "__side",
-        facility_number(F.try_variant_get(F.try_element_at("__fields", F.col("__id")), "$", "string")).alias("__hospital"),
-        F.explode("__names").alias("__name"),
-        "__fields",
-    )
-    cells = cells.select("__step", "__side", "__hospital", "__name", comparable(F.try_element_at("__fields", F.col("__name"))).alias("__value"))
-    cells = cells.where(F.col("__hospital").isNotNull() & F.col("__value").isNotNull())
-    cells = cells.groupBy("__step", "__hospital", "__side", "__name").agg(F.max("__value").alias("__value"))
-    # One row per hospital and step; the pairs within it are of columns, as many as the two files' schemas allow.
-    both = cells.groupBy("__step", "__hospital").agg(
-        F.collect_list(F.when(F.col("__side") == 0, F.struct("__name", "__value"))).alias("__l"), F.collect_list(F.when(F.col("__side") == 1, F.struct("__name", "__value"))).alias("__c")
-    )
-    pairs = both.select("__step", F.explode("__l").alias("l"), "__c").select("__step", "l", F.explode("__c").alias("c"))
-    score = pairs.groupBy("__step", F.col("l.__name").alias("l"), F.col("c.__name").alias("c")).agg(
-        F.avg((F.col("l.__value") == F.col("c.__value")).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")
+    score = F.struct(F.coalesce(named, F.lit(False)).alias("named"), F.coalesce("__six", F.lit(0.0)).alias("six"), F.coalesce("__near", F.lit(0.0)).alias("near"), "field")
+    names = F.array(*[F.lit(k) for k in ("boolean", "integer", "decimal", "text")])
+    return profile.select(*FILE, "field", F.try_element_at(names, F.col("__rank")).alias("kind"), score.alias("__id_score"))
+
+
+def schema_versions(profile: DataFrame) -> DataFrame:
+    """One row per file: ``__fields`` (field to type), ``fingerprint``, ``__id`` (the field with the hospital number), the same of the release
+    before of its source and feed (``__prev`` and so on), and ``schema_version``, which counts the fingerprints that a feed has had."""
+    entry = F.struct("field", F.coalesce("kind", F.lit("unknown")).alias("kind"))
+    files = profile.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.when(F.col("field").isNotNull(), entry))).alias("__list"), F.max_by("field", "__id_score").alias("__id"))
+    print_ = F.sha2(F.array_join(F.transform("__list", lambda e: F.concat_ws("\t", e["field"], e["kind"])), "\n"), 256)
+    files = files.select(*FILE, "__id", F.map_from_entries("__list").alias("__fields"), print_.alias("fingerprint"))
+    order = Window.partitionBy("source", "feed_id").orderBy("release_label")
+    before = {f"__prev{n}": F.lag(c).over(order) for n, c in (("", "release_label"), ("_id", "__id"), ("_fields", "__fields"), ("_fingerprint", "fingerprint"))}
+    files = files.withColumns(before)
+    changed = F.coalesce(F.col("fingerprint") != F.col("__prev_fingerprint"), F.lit(True))
+    return files.withColumn("schema_version", F.sum(changed.cast("int")).over(order).cast("int"))
+
+
+def _renames(df: DataFrame, steps: DataFrame) -> DataFrame:
+    """(``__step``, ``__pairs``): fields that left and came as the same one, the pairs with the largest share of kept values first,
+    one to one.
+
+    Of a hospital's values of a field the smallest and the largest hash are compared: for one value that is the value, for many it
+    tells to which part the sets of values are the same, and repeated lines do not matter. So what is shuffled is
+    one small row per hospital and field that left or came, and only equal pairs are counted.
+    """
+    side = lambda label, id_, names, n: steps.select("source", "feed_id", F.col(label).alias("release_label"), F.col(id_).alias("__id"), "__step", F.col(names).alias("__names"), F.lit(n).alias("__side"))
+    wanted = side("__prev", "__prev_id", "__left", 0).unionByName(side("release_label", "__id", "__came", 1))
+    wanted = F.broadcast(wanted) if steps.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS else wanted
+    raw = df.select(*FILE, "payload").join(wanted, FILE).select("__step", "__side", "__id", "__names", _json().alias("__fields"))
+    cells = raw.select("__step", "__side", F.try_variant_get(F.try_element_at("__fields", F.col("__id")), "$", "string").alias("__number"), "__fields", F.explode("__names").alias("__name"))
+    cells = cells.select("__step", "__side", "__number", "__name", F.try_variant_get(F.try_element_at("__fields", F.col("__name")), "$", "string").alias("__text"))
+    cells = cells.select("__step", "__side", facility_number("__number").alias("__hospital"), "__name", F.xxhash64(comparable("__text")).alias("__hash")).where(
+        F.col("__hospital").isNotNull() & ~is_marker("__text")
     )
-    ranked = score.where(F.col("share") >= KEPT).groupBy("__step").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("share"), F.col("n"), F.col("l"), F.col("c"))), asc=False).alias("__ranked")
+    held = cells.groupBy("__step", "__hospital", "__side", "__name").agg(F.min("__hash").alias("lo"), F.max("__hash").alias("hi"))
+    names = lambda n: F.collect_list(F.when(F.col("__side") == n, F.struct(F.col("__name").alias("name"), "lo", "hi")))
+    both = held.groupBy("__step", "__hospital").agg(names(0).alias("__l"), names(1).alias("__c")).where((F.size("__l") > 0) & (F.size("__c") > 0))
+    none = F.lit(None).cast("string")
+    count = lambda l, c, n, kept: F.struct(l.alias("l"), c.alias("c"), F.lit(n).alias("n"), kept.cast("double").alias("kept"))  # noqa: E731, E741
+    equal = lambda x, y: ((x["lo"] == y["lo"]).cast("double") + (x["hi"] == y["hi"]).cast("double")) / 2
+    same = F.flatten(F.transform("__l", lambda x: F.transform(F.filter("__c", lambda y: equal(x, y) > 0), lambda y: count(x["name"], y["name"], 0, equal(x, y)))))
+    alone = [F.transform("__l", lambda x: count(x["name"], none, 1, F.lit(0))), F.transform("__c", lambda y: count(none, y["name"], 1, F.lit(0)))]
+    seen = both.select("__step", F.explode(F.concat(*alone, same)).alias("e"))
+    sums = seen.groupBy("__step", "e.l", "e.c").agg(F.sum("e.n").alias("n"), F.sum("e.kept").alias("kept"))
+    of_step = sums.groupBy("__step").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("c").isNull(), F.struct("l", "n")))).alias("__nl"),
+        F.map_from_entries(F.collect_list(F.when(F.col("l").isNull(), F.struct("c", "n")))).alias("__nc"),
+        F.collect_list(F.when(F.col("l").isNotNull() & F.col("c").isNotNull(), F.struct("l", "c", "kept"))).alias("__p"),
     )
+    rows = lambda p: F.least(F.try_element_at("__nl", p["l"]), F.try_element_at("__nc", p["c"]))
+    shares = F.transform("__p", lambda p: F.struct((p["kept"] / rows(p)).alias("share"), rows(p).alias("n"), p["l"].alias("l"), p["c"].alias("c")))
+    ranked = F.sort_array(F.filter(shares, lambda p: p["share"] >= KEPT), asc=False)
     taken = F.aggregate(
-        "__ranked",
+        ranked,
         F.expr("cast(array() as array<struct<l:string,c:string>>)"),
         lambda done, x: F.when(F.exists(done, lambda d: (d["l"] == x["l"]) | (d["c"] == x["c"])), done).otherwise(F.concat(done, F.array(F.struct(x["l"].alias("l"), x["c"].alias("c"))))),
     )
-    return ranked.select("__step.*", F.explode(taken).alias("__pair")).select(*FILE, F.col("__pair.l").alias("field_before"), F.col("__pair.c").alias("field_after"))
+    return of_step.select("__step", taken.alias("__pairs"))
+
+
+def migration_steps(df: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, ``version_before``, ``schema_version``, ``fingerprint``, ``step``, ``change_kind``, ``field_before``, ``field_after``, ``type_before``,
+    ``type_after``): the recorded steps that lead from the schema of the release before to the file's own, in the order
+    in which they are applied: renames, then removed fields, added ones (null by default in files without them), and casts.
+
+    Files whose fingerprint is that of the release before have no step and are not looked at further.
+    """
+    now, then = F.map_keys("__fields"), F.map_keys("__prev_fields")
+    moved = files.where(F.col("__prev").isNotNull() & (F.col("fingerprint") != F.col("__prev_fingerprint")))
+    moved = moved.select(
+        *FILE, "__prev", "__id", "__prev_id", "__fields", "__prev_fields", "fingerprint", "schema_version",
+        F.array_except(then, now).alias("__left"), F.array_except(now, then).alias("__came"), F.array_intersect(now, then).alias("__both"), F.monotonically_increasing_id().alias("__step"),
+    )
+    moved = cut(moved)
+    pairs = _renames(df, moved.where((F.size("__left") > 0) & (F.size("__came") > 0)))
+    known = moved.join(pairs, "__step", "left").withColumn("__pairs", F.coalesce("__pairs", F.expr("cast(array() as array<struct<l:string,c:string>>)")))
+    was, is_ = (lambda f: F.try_element_at("__prev_fields", f)), (lambda f: F.try_element_at("__fields", f))
+    step = lambda kind, before, after, a, b: F.struct(F.lit(kind).alias("change_kind"), before.alias("field_before"), after.alias("field_after"), a.alias("type_before"), b.alias("type_after"))
+    empty, no = F.lit(""), F.lit(None).cast("string")
+    gone = F.array_except("__left", F.transform("__pairs", lambda p: p["l"]))
+    new = F.array_except("__came", F.transform("__pairs", lambda p: p["c"]))
+    cast = F.filter("__both", lambda f: (was(f) != "unknown") & (is_(f) != "unknown") & (was(f) != is_(f)))
+    steps = F.concat(
+        F.transform("__pairs", lambda p: step("renamed", p["l"], p["c"], was(p["l"]), is_(p["c"]))),
+        F.transform(gone, lambda f: step("removed", f, empty, was(f), no)),
+        F.transform(new, lambda f: step("added", empty, f, no, is_(f))),
+        F.transform(cast, lambda f: step("type_changed", f, f, was(f), is_(f))),
+    )
+    out = known.select(*FILE, (F.col("schema_version") - 1).alias("version_before"), "schema_version", "fingerprint", F.posexplode(steps).alias("step", "__s"))
+    return out.select(*FILE, "version_before", "schema_version", "fingerprint", (F.col("step") + 1).alias("step"), "__s.*")
+
+
+def recorded_steps(df: DataFrame) -> DataFrame:
+    """``migration_steps`` of all files of ``df``: ``source``, ``feed_id``, ``release_label`` (together a file) and ``payload``, one JSON object."""
+    return migration_steps(df, cut(schema_versions(field_profile(parsed(df, [])))))
 
 
-def schema_changes(df: DataFrame, rows: DataFrame | None = None, profile: DataFrame | None = None) -> DataFrame:
+def schema_changes(df: DataFrame) -> DataFrame:
     """(file, ``change_kind``, ``field_before``, ``field_after``) of every file against the release before of its
     source and feed: fields ``renamed``, ``added`` (before ``''``), ``removed`` (after ``''``) and
-    ``type_changed``.
+    ``type_changed``. These are the recorded migration steps between versions of the schema.
 
-    ``df``: ``source``, ``feed_id``, ``release_label`` (together a file) and ``payload``, one JSON object. A payload
-    that is null or no object has no fields. Rows without source, feed or label belong to no file and are left out.
+    A payload that is null or no object has no fields. Rows without source, feed or label belong to no file and are left out.
     A field with nulls and markers only has no type, so no change of type. Repeated rows change nothing.
-    The first pass makes a profile of files by fields, which is all that is kept; the second reads values
-    of just the fields that left or came, and compares them hospital by hospital.
+    The first pass makes a profile of files by fields, from which come fingerprints, versions and what left, came or
+    changed its type; the second reads only the files of versions that lost and got fields, and compares those by hospital.
     """
-    rows = parsed(df, []) if rows is None else rows
-    profile = cut(field_profile(rows)) if profile is None else profile
-    files = file_sequence(profile)
-    moved = cut(field_transitions(profile, files))
-    here = F.col("__in_now").isNotNull() & F.col("__in_then").isNotNull()
-    retyped = moved.where(here & (F.col("__now") != F.col("__then"))).select(
-        *FILE, F.lit("type_changed").alias("change_kind"), F.col("field").alias("field_before"), F.col("field").alias("field_after")
-    )
-    came_or_left = moved.where(~here)
-    renamed = cut(_renames(rows, files, came_or_left))
-    left = came_or_left.where(F.col("__in_now").isNull()).join(renamed.select(*FILE, F.col("field_before").alias("field")), [*FILE, "field"], "left_anti")
-    came = came_or_left.where(F.col("__in_then").isNull()).join(renamed.select(*FILE, F.col("field_after").alias("field")), [*FILE, "field"], "left_anti")
-    return (
-        retyped.unionByName(renamed.select(*FILE, F.lit("renamed").alias("change_kind"), "field_before", "field_after"))
-        .unionByName(left.select(*FILE, F.lit("removed").alias("change_kind"), F.col("field").alias("field_before"), F.lit("").alias("field_after")))
-        .unionByName(came.select(*FILE, F.lit("added").alias("change_kind"), F.lit("").alias("field_before"), F.col("field").alias("field_after")))
-    )
+    return recorded_steps(df).select(*FILE, "change_kind", "field_before", "field_after")
 
 
 def _concept(name: str) -> str | None:
@@ -188,35 +223,30 @@ def _concept(name: str) -> str | None:
     return next((concept for concept, names in CONCEPTS.items() if plain in names), None)
 
 
-def _migrations(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source and feed: its schema versions, and each file's fields with the concept they carry.
+def _carried(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One source and feed: each file's fields with the concept they carry, release by release along the recorded renames.
 
-    A field takes the concept of its own name, else that of the field it was renamed from, release by release;
-    a field without either keeps its name. So one row per file and field: the rules by which the file is read.
+    A field takes the concept of its own name, else that of the field it was renamed from, else keeps its name. So one row per
+    file and field: the rules by which the file is read.
     """
-    out, carried, last, version = [], {}, None, 0
-    for label, file in pdf.sort_values("release_label").groupby("release_label", sort=True):
-        came = {}
-        for field, before in zip(file["field"], file["field_before"]):
-            if field is not None:
-                came[field] = _concept(field) or carried.get(before if isinstance(before, str) else field) or field
-        schema = tuple(sorted((f, str(k)) for f, k in zip(file["field"], file["kind"]) if f is not None))
-        version, last = (version + (schema != last), schema)
-        out += [(label, version, field, concept) for field, concept in came.items()]
-        carried = came
+    out, carried = [], {}
+    for label, fields, renamed in sorted(zip(pdf["release_label"], pdf["__names"], pdf["__renamed"]), key=lambda x: x[0]):
+        was = {r["after"]: r["before"] for r in renamed} if renamed is not None else {}
+        carried = {f: _concept(f) or carried.get(was.get(f, f)) or f for f in fields}
+        out += [(label, f, concept) for f, concept in carried.items()]
     first = pdf[["source", "feed_id"]].iloc[0]
-    made = pd.DataFrame(out, columns=["release_label", "schema_version", "field", "concept"])
+    made = pd.DataFrame(out, columns=["release_label", "field", "concept"])
     return made.assign(source=first["source"], feed_id=first["feed_id"])
 
 
-def migration_rules(profile: DataFrame, renamed: DataFrame) -> DataFrame:
-    """(file, ``schema_version``, ``field``, ``concept``, ``fingerprint``): how each file is read. A group is the
+def migration_rules(files: DataFrame, steps: DataFrame) -> DataFrame:
+    """(file, ``schema_version``, ``fingerprint``, ``__rules``: field to concept): how each file is read. A group is the
     fields of one feed's releases, never its rows."""
-    fields = profile.where(F.col("field").isNotNull()).select(*FILE, "field", "kind")
-    steps = fields.join(renamed.select(*FILE, F.col("field_after").alias("field"), "field_before"), [*FILE, "field"], "left")
-    rules = steps.groupBy("source", "feed_id").applyInPandas(_migrations, "source string, feed_id bigint, release_label string, schema_version int, field string, concept string")
-    prints = fields.groupBy(*FILE).agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws("\t", "field", F.coalesce("kind", F.lit("unknown")))))), 256).alias("fingerprint"))
-    return rules.join(prints, FILE)
+    renamed = steps.where(F.col("change_kind") == "renamed").groupBy(*FILE).agg(F.collect_list(F.struct(F.col("field_before").alias("before"), F.col("field_after").alias("after"))).alias("__renamed"))
+    named = files.select(*FILE, F.map_keys("__fields").alias("__names")).join(renamed, FILE, "left")
+    rules = named.groupBy("source", "feed_id").applyInPandas(_carried, "source string, feed_id bigint, release_label string, field string, concept string")
+    by_file = rules.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("field", "concept"))).alias("__rules"))
+    return files.select(*FILE, "schema_version", "fingerprint").join(by_file, FILE, "left")
 
 
 def consistent_table(df: DataFrame) -> DataFrame:
@@ -228,11 +258,8 @@ def consistent_table(df: DataFrame) -> DataFrame:
     lines stay. A payload that cannot be parsed gives a row with nulls.
     """
     rows = parsed(df, ["line_no"])
-    profile = cut(field_profile(rows))
-    changes = schema_changes(df, rows, profile)
-    rules = migration_rules(profile, changes.where(F.col("change_kind") == "renamed"))
-    by_file = rules.groupBy(*FILE, "schema_version", "fingerprint").agg(F.map_from_entries(F.collect_list(F.struct("field", "concept"))).alias("__rules"))
-    wide = rows.join(by_file, FILE, "left").select(
+    files = cut(schema_versions(field_profile(rows)))
+    wide = rows.join(migration_rules(files, migration_steps(df, files)), FILE, "left").select(
         *FILE,
         "line_no",
         "schema_version",

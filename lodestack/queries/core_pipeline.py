@@ -36,6 +36,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.schema_changes(table(spark, folder, "release_records"))
 
 
+def p1_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The recorded migration steps between schema versions, with the types before and after."""
+    return drift.recorded_steps(table(spark, folder, "release_records"))
+
+
 def p1_table(spark: SparkSession, folder: str) -> DataFrame:
     """All payloads of all releases as one consistent table."""
     return drift.consistent_table(table(spark, folder, "release_records"))
@@ -79,7 +84,7 @@ def p6_history(spark: SparkSession, folder: str) -> DataFrame:
     return _history(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_table, p3_found, p3_loaded, p5_found, p6_found, p6_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_steps, p1_table, p3_found, p3_loaded, p5_found, p6_found, p6_history)}
 
 
 def _no_value(c: str) -> str:
@@ -104,7 +109,7 @@ with rows_ as (
     select * from rows_ where facility_id <> '' and condition <> ''
     qualify row_number() over (partition by source_release, facility_id, condition order by ingested_at desc, content desc) = 1
 ), place as (
-    select source_release, row_number() over (order by source_release) as i from (select distinct source_release from held)
+    select source_release, row_number() over (order by source_release) as i from (select distinct source_release from hrrp_snapshots where source_release is not null)
 ), placed as (select held.*, i from held join place using (source_release)),
 pairs as (
     select coalesce(a.facility_id, b.facility_id) as facility_id, coalesce(a.condition, b.condition) as condition, coalesce(b.i, a.i + 1) as i,

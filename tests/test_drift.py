@@ -58,6 +58,28 @@ def test_values_mostly_change(spark):
     assert [c[1] for c in changes(spark, files)] == ["added", "removed"]
 
 
+def test_many_rows_of_a_hospital(spark):
+    """All values of a hospital count, not one of them: here the largest stays, but most others change."""
+    of = lambda field, mark: [{"Facility ID": f"01{i:04d}", field: "zz" if j == 0 else f"{mark}{i}{j}"} for i in range(4) for j in range(6)]
+    assert [c[1] for c in changes(spark, {("s", 1, "1"): of("A", "a"), ("s", 1, "2"): of("B", "b")})] == ["added", "removed"]
+    assert [c[1] for c in changes(spark, {("s", 1, "1"): of("A", "a"), ("s", 1, "2"): of("B", "a") * 2})] == ["renamed"]
+
+
+def test_the_way_without_broadcast(spark, monkeypatch):
+    files = {("s", 1, "1"): [hospital(i, State="AL") for i in range(4)], ("s", 1, "2"): [hospital(i, STATE="AL") for i in range(4)]}
+    monkeypatch.setattr(drift, "BROADCAST_STEPS", 0)
+    assert changes(spark, files) == [("2", "renamed", "State", "STATE")]
+
+
+def test_versions_and_recorded_steps(spark):
+    files = {("s", 1, str(i)): [hospital(1, V=v, **more)] for i, (v, more) in enumerate([("a", {}), ("b", {}), (1, {}), (2, {"W": 1}), ("c", {"W": 2})])}
+    steps = drift.recorded_steps(frame(spark, files)).orderBy("release_label", "step").collect()
+    assert [(r["release_label"], r["version_before"], r["schema_version"], r["step"], r["change_kind"], r["type_before"], r["type_after"]) for r in steps] == [
+        ("2", 1, 2, 1, "type_changed", "text", "integer"), ("3", 2, 3, 1, "added", None, "integer"), ("4", 3, 4, 1, "type_changed", "integer", "text"),
+    ]
+    assert len({r["fingerprint"] for r in steps}) == 3
+
+
 def test_nulls_broken_repeated_and_empty(spark):
     files = {("s", 1, "1"): [hospital(1, A="x"), hospital(1, A="x"), None, "not json", "[1]"], ("s", 1, "2"): [None], (None, 1, "1"): [hospital(1)], ("s", None, "1"): [hospital(1)], ("s", 1, None): [hospital(1)]}
     assert changes(spark, files) == [("2", "removed", "A", ""), ("2", "removed", "Facility ID", "")]
