@@ -25,7 +25,7 @@ def test_trie_equals_brute_force():
     for _ in range(300):
         text, limit = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 8))), rng.randint(0, 3)
         want = sorted((edits(text, n), n) for n in names if edits(text, n) <= limit)
-        assert [(d, n) for d, n, _ in trie.within(text, limit)] == want
+        assert [(d, n) for d, n, node in trie.within(text, limit) if any(not alias for alias, *_ in node.entries)] == want
 
 
 ENTRIES = [("1", "AA", "Stavonton Borough"), ("2", "AA", "Stavonton city"), ("3", "AA", "St. Galdarvale County"), ("4", "AA", "De Brimelcombe County"), ("5", "BB", "Krugofield County"), ("6", "AA", "Branelbróok County"), ("7", "AA", "Lachulhaven-Cald County"), ("8", "AA", "Ashton County"), ("9", "AA", "Ashtor County")]
@@ -40,14 +40,52 @@ ENTRIES = [("1", "AA", "Stavonton Borough"), ("2", "AA", "Stavonton city"), ("3"
     ],
 )
 def test_entries(value, want):
-    assert C.best(C.Matcher(ENTRIES).candidates("AA", value))[0] == want
+    assert C.Matcher(ENTRIES).judged("AA", value)[1][0] == want
 
 
 def test_blocks_and_methods():
     m = C.Matcher(ENTRIES)
-    assert m.candidates(None, "Stavonton") == [] and m.candidates("ZZ", "Stavonton") == []
-    assert C.best(m.candidates("AA", "Ashtox"))[1] == "ambiguous" and len(m.candidates("AA", "Ashtox")) == 2
-    assert m.candidates("AA", "Stavontn") == [("1", "edited", 1)] and m.candidates("AA", "Lachulhave")[0][1] == "part"
+    assert m.judged(None, "Stavonton") == m.judged("ZZ", "Stavonton") == ([], (None, "unmatched", None))
+    found, chosen = m.judged("AA", "Ashtox")
+    assert chosen == (None, "ambiguous", 1) and [f[:3] for f in found] == [("8", "county", 1), ("9", "county", 1)]
+    assert m.judged("AA", "Stavontn")[1] == ("1", "edited", 1) and m.judged("AA", "Lachulhave")[1][1] == "part"
+
+
+def test_all_entries_within_the_distance():
+    """An exact name does not end the search, nor does a name that another block has."""
+    m = C.Matcher([("1", "CA", "Marin County"), ("2", "CA", "Martin County"), ("3", "CA", "Monro County"), ("4", "AL", "Monroe County"), ("5", "CA", "Marin city")])
+    found, chosen = m.judged("CA", "Marin")
+    assert [(e, d) for e, _, d, _ in found] == [("1", 0), ("5", 0), ("2", 1)] and chosen == ("1", "exact", 0)
+    found, chosen = m.judged("CA", "Monroe")
+    assert [(e, d) for e, _, d, _ in found] == [("3", 1)] and chosen == (None, "unmatched", None)
+    assert m.judged("CA", "Marin City")[1] == ("5", "exact", 0) and m.judged("CA", "Martin City")[1][0] is None
+
+
+def test_alias_paths():
+    assert set(C.alias_paths("STX", "city", True)) == {("STX", 0), ("STXCITY", 4), ("CITYOFSTX", 6), ("SAINTX", 3), ("SAINTXCITY", 7), ("CITYOFSAINTX", 9)}
+    m = C.Matcher(ENTRIES)
+    for value in ("Saint Galdarvale Conty", "Coutny of Saint Galdarvale", "SAINTGALDARVALE COUNTY", "St Galdarvale Parihs"):
+        assert m.judged("AA", value)[1][:2] in ((("3", "exact")), ("3", "edited")), value
+
+
+def test_matches_equal_plain_search():
+    """All entries within the distance, against comparing every alias path."""
+    rng = random.Random(4)
+    names = sorted({"".join(rng.choice("ABCDE") for _ in range(rng.randint(3, 9))) for _ in range(60)})
+    m = C.Matcher([(n, "AA", f"{n.title()} County") for n in names])
+    for _ in range(150):
+        name = list(rng.choice(names))
+        for _ in range(rng.randint(0, 3)):
+            name[rng.randrange(len(name))] = rng.choice("ABCDEF")
+        value = "".join(name) + rng.choice(["", " County", " CO", " Conty"])
+        text = C.letters(value.upper())
+        want = {}
+        for n in names:
+            for path, alias in C.alias_paths(n, "county", False):
+                d = edits(text, path)
+                if d <= C.distance_limit(max(0, len(text) - alias)):
+                    want[n] = min(want.get(n, 9), d)
+        assert {e: d for e, _, d, _ in m.judged("AA", value)[0]} == want, value
 
 
 @pytest.fixture
