@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestack.session import cut
+
 #: Most windows that ``asof_window`` holds in one row; they are periods of publication, of which there are few.
 MOST_WINDOWS = 100_000
 
@@ -122,12 +124,29 @@ def asof_window(left: DataFrame, windows: DataFrame, at: str, start: str, end: s
     kinds = windows.select(F.col(start).alias("s"), F.col(end).alias("e")).where(F.col("e").isNotNull()).distinct()
     best = kinds.groupBy("e").agg(F.min("s").alias("s"))
     if best.limit(MOST_WINDOWS + 1).count() > MOST_WINDOWS:
-        return asof_keyed(left.withColumn("__k", F.lit(1)), best.select(F.lit(1).alias("__k"), F.col("e").alias(end), F.col("s").alias(start)), ["__k"], at, end, [start]).drop("__k")
+        return _asof_sorted(left, best, at, start, end)
     row = best.agg(F.sort_array(F.collect_list(F.struct("e", "s"))).alias("__w"))
     found = F.try_element_at(F.filter("__w", lambda w: w["e"] <= F.col(at)), F.lit(-1))
     return left.crossJoin(F.broadcast(row)).withColumns({"__f": found}).withColumns({start: F.col("__f.s"), end: F.col("__f.e")}).drop("__w", "__f")
 
 
+def _asof_sorted(left: DataFrame, windows: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """The same for any number of windows: both sides are range-partitioned by time together and each sorted partition carries the last
+    window forward; what a partition begins with is the largest end of all before it, one row a partition."""
+    window = F.struct(F.col("e").alias("e"), F.col("s").alias("s"))
+    a = left.select(F.col(at).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast(windows.select(window.alias("x")).schema["x"].dataType).alias("__w"))
+    b = windows.select(F.col("e").alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__left"].dataType).alias("__left"), window.alias("__w"))
+    rows = a.unionByName(b).repartitionByRange(F.col("__t").asc_nulls_first(), F.col("__side"))
+    rows = cut(rows.withColumn("__part", F.spark_partition_id()))
+    lasts = rows.groupBy("__part").agg(F.max("__w").alias("__w"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    given = lasts.select(F.col("__part").alias("__p"), F.max("__w").over(before).alias("__given"))
+    own = Window.partitionBy("__part").orderBy(F.col("__t").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("__last", F.last("__w", True).over(own)).where(F.col("__side") == 1).join(F.broadcast(given), F.col("__part") == F.col("__p"))
+    found = F.when(F.col("__t").isNotNull(), F.coalesce("__last", "__given"))
+    return both.select("__left.*", found.getField("s").alias(start), found.getField("e").alias(end))
+
+
 def asof_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, time: str, values: Sequence[str]) -> DataFrame:
     """``left`` with ``time`` and ``values`` of the last row of ``right`` with its keys at or before ``at``.
 
@@ -199,8 +218,12 @@ def share_of_total(value: str, keys: Sequence[str]) -> Column:
     return F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*keys)))
 
 
-def weighted_mean(value: str, weight: str) -> Column:
-    return F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight))))
+def weighted_mean(value: str, weight: str, digits: int = 6) -> Column:
+    """The mean of values of at most ``digits`` decimals, weighted by whole numbers; null without weight. The sum is exact, so it
+    does not depend on the order in which rows are added."""
+    exact = F.col(value).cast(f"decimal(18,{digits})")
+    weights = F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))
+    return F.try_divide(F.sum(exact * F.col(weight).cast("decimal(12,0)")).cast("double"), weights.cast("double"))
 
 
 def mean_interval(value: str, z: float = 1.96) -> list[Column]:

@@ -562,54 +562,230 @@ def time_spine(t: Tables) -> DataFrame:
 
 # Checks
 
-
-@HOSPITAL.check("stg_results")
-def _results_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["stg_results"]
-    s.add("results_key", checks.unique(df, "facility_id", "condition"))
-    s.add("results_id_form", checks.full_match(df, "facility_id", "[0-9A-Z]{6}"))
-    s.add("results_status", checks.accepted_values(df, "score_status", ["scored", *STATUS.values()]), "warn")
-    s.add("results_ratio", checks.accepted_range(df, "excess_readmission_ratio", 0, 5))
-
-
-@HOSPITAL.check("stg_payment_adjustments")
-def _payments_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["stg_payment_adjustments"]
-    s.add("payments_key", checks.unique(df, "facility_id", "fiscal_year"))
-    s.add("payments_factor", checks.accepted_range(df, "payment_adjustment_factor", 0.97, 1))
-    s.add("payments_reduction", checks.accepted_range(df, "payment_reduction_pct", 0, 3))
-
-
-@HOSPITAL.check("int_zip_county")
-def _shares_are_sound(s: checks.Suite, t: Tables) -> None:
-    s.add("land_shares", checks.accepted_range(t["int_zip_county"], "land_share", 0, 1.0000001))
-
-
-@HOSPITAL.check("dim_hospital")
-def _hospitals_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["dim_hospital"]
-    s.add("hospitals_key", checks.unique(df, "facility_id"))
-    s.add("hospitals_covered", checks.covers(df, "facility_id", [t["stg_results"], t["stg_payment_adjustments"], t["int_profile"]]))
-    s.add("hospitals_county", checks.relationship(df, "county_fips", t["dim_county"], "county_fips"), "warn")
-
-
-@HOSPITAL.check("dim_fiscal_year")
-def _years_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["dim_fiscal_year"]
-    s.add("years_key", checks.unique(df, "fiscal_year"))
-    s.add("survey_ends_in_time", checks.not_before(df.where(F.col("survey_period_end").isNotNull()), "survey_period_end", "fiscal_year_end"))
-
-
-@HOSPITAL.check("fct_readmissions")
-def _facts_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["fct_readmissions"]
-    s.add("facts_key", checks.unique(df, "facility_id", "condition", "fiscal_year"))
-    s.add("facts_hospital", checks.not_null(df, "facility_id"))
-    s.add("facts_status_of_public", checks.expression_is_true(df, ~F.col("in_public_file") | F.col("score_status").isNotNull()))
-
-
-@HOSPITAL.check("ml_penalty_features")
-def _features_are_sound(s: checks.Suite, t: Tables) -> None:
-    df = t["ml_penalty_features"]
-    s.add("features_key", checks.unique(df, "facility_id", "fiscal_year"))
-    s.add("features_split", checks.accepted_values(df, "split", ["train", "overlap_unused", "test"]))
+#: Hospitals whose county is known for certain.
+GOLDEN_COUNTIES = {"210009": "24510", "260032": "29510", "490007": "51710", "490009": "51540", "070022": "09170"}
+
+#: The smallest share of profiled hospitals with a county, and of hospital years of a year with a survey window that have scores.
+LEAST_LINKED, LEAST_SURVEYED = 0.995, 0.99
+
+_FORM = {"facility_id": "[0-9A-Z]{6}"}
+_YEAR = {"fiscal_year": "FY20[0-9]{2}"}
+_LINKS = ["zip_single_county", "zip_name_agrees", "zip_largest_area", "ct_town", "name_only", "single_county_state", "no_places_data", "unmatched"]
+_FIPS = {"county_fips": "[0-9]{5}"}
+_RESULT = {
+    "key": ("facility_id", "condition", "period_start"),
+    "not_null": ("facility_id", "measure_id", "condition", "period_start", "period_end", "score_status", "source_release", "ingested_at"),
+    "form": _FORM,
+    "accepted": {"condition": list(CONDITIONS), "score_status": ["scored", *STATUS.values()]},
+    "ranges": {"excess_readmission_ratio": (0.3, 3), "predicted_readmission_rate": (0, 100), "expected_readmission_rate": (0, 100), "discharges": (0, None), "readmissions": (0, None)},
+    "rules": {"ends_after_start": "period_end > period_start", "scored_has_ratio": "(score_status = 'scored') = (excess_readmission_ratio is not null)"},
+}
+_RATED = {"overall_star_rating": (1, 5)}
+_SURVEYED = {"star_rating": (1, 5), "linear_mean_score": (0, 100), "completed_surveys": (0, None), "response_rate_pct": (0, 100)}
+
+#: Rules by table. ``key``: unique together; ``not_null``; ``form``: a pattern for the whole value; ``accepted`` values; ``ranges`` with either end
+#: open; ``parents``: column to (table, column); ``rules`` in SQL, which fail where they are false. Names in ``warn`` do not stop what follows.
+RULES: dict[str, dict] = {
+    "stg_results": {**_RESULT, "key": ("facility_id", "condition"), "warn": ("score_status", "excess_readmission_ratio")},
+    "stg_results_history": {**_RESULT, "rules": {**_RESULT["rules"], "first_release_first": "period_first_release <= source_release"}, "warn": ("score_status", "excess_readmission_ratio")},
+    "stg_payment_adjustments": {
+        "key": ("facility_id", "fiscal_year"),
+        "not_null": ("facility_id", "fiscal_year", "payment_adjustment_factor", "payment_reduction_pct", "is_penalized"),
+        "form": _FORM | _YEAR,
+        "ranges": {"payment_adjustment_factor": (0.97, 1), "payment_reduction_pct": (0, 3), "dual_proportion": (0, 1), "peer_group": (1, 5), "neutrality_modifier": (0.5, 1.5)},
+        "rules": {"factor_is_reduction": "abs((1 - payment_adjustment_factor) * 100 - payment_reduction_pct) <= 0.011", "penalized_has_reduction": "is_penalized = (payment_reduction_pct > 0)"},
+        "warn": ("dual_proportion", "neutrality_modifier", "penalized_has_reduction"),
+    },
+    "stg_peer_comparisons": {
+        "key": ("facility_id", "fiscal_year", "condition"),
+        "not_null": ("facility_id", "fiscal_year", "condition", "eligible_discharges"),
+        "accepted": {"condition": list(CONDITIONS)},
+        "parents": {"facility_id": ("stg_payment_adjustments", "facility_id")},
+        "ranges": {"eligible_discharges": (0, None), "excess_readmission_ratio": (0.3, 3), "peer_group_median_err": (0.5, 1.5), "drg_payment_ratio": (0, 1)},
+        "rules": {"flag_above_median": "not is_above_peer_median or excess_readmission_ratio > peer_group_median_err", "flag_has_25_cases": "not is_above_peer_median or eligible_discharges >= 25"},
+        "warn": ("excess_readmission_ratio", "flag_has_25_cases"),
+    },
+    "stg_hospitals": {"key": ("facility_id",), "not_null": ("facility_id", "facility_name", "state", "source_release"), "form": _FORM | {"zip_code": "[0-9]{5}"}, "ranges": _RATED, "warn": ("zip_code",)},
+    "stg_hospitals_history": {"key": ("facility_id", "snapshot_date"), "not_null": ("facility_id", "snapshot_date"), "form": _FORM, "ranges": _RATED, "warn": ("facility_id",)},
+    "stg_survey": {"not_null": ("facility_id", "measure_id", "period_start", "period_end"), "form": _FORM | {"measure_id": "H_[A-Z0-9_]+"}, "ranges": _SURVEYED, "rules": {"ends_after_start": "period_end > period_start"}},
+    "stg_survey_history": {"not_null": ("facility_id", "measure_id", "period_start", "period_end"), "form": _FORM | {"measure_id": "H_[A-Z0-9_]+_(?:LINEAR_SCORE|STAR_RATING)"}, "ranges": _SURVEYED, "rules": {"ends_after_start": "period_end > period_start"}},
+    "stg_footnotes": {"key": ("footnote_code",), "not_null": ("footnote_code", "footnote_text")},
+    "stg_county_health": {
+        "key": ("county_fips", "measure_id", "value_type"),
+        "not_null": ("county_fips", "county_name", "state", "measure_id", "value_type"),
+        "form": _FIPS | {"state": "[A-Z]{2}"},
+        "accepted": {"value_type": ["AgeAdjPrv", "CrdPrv"]},
+        "ranges": {"value_pct": (0, 100), "total_population": (1, None), "adult_population": (0, None), "latitude": (-90, 90), "longitude": (-180, 180)},
+        "rules": {"suppressed_has_no_value": "not is_suppressed or value_pct is null"},
+    },
+    "stg_zip_county": {"not_null": ("county_fips", "county_name"), "form": _FIPS | {"zcta": "[0-9]{5}"}, "ranges": {"land_area_part": (0, None), "water_area_part": (0, None)}},
+    "stg_zip_town": {"not_null": ("town_fips", "town_name", "planning_region_fips"), "form": {"town_fips": "[0-9]{10}"}, "ranges": {"land_area_part": (0, None)}},
+    "int_zip_county": {"key": ("zcta", "county_fips"), "not_null": ("zcta", "county_fips", "county_name"), "ranges": {"land_share": (0, 1.0000001), "zcta_county_count": (1, None)}},
+    "int_survey_scores": {"key": ("facility_id",), "not_null": ("facility_id", "period_end")},
+    "int_survey_by_window": {"key": ("facility_id", "period_start", "period_end"), "not_null": ("facility_id",)},
+    "int_profile": {"key": ("facility_id",), "not_null": ("facility_id", "profile_source", "profile_date"), "accepted": {"profile_source": ["current", "archive"]}},
+    "int_hospital_county": {
+        "key": ("facility_id",),
+        "not_null": ("facility_id", "link_method", "is_high_confidence"),
+        "accepted": {"link_method": _LINKS},
+        "ranges": {"zip_land_share": (0, 1.0000001)},
+        "rules": {"a_way_has_a_county": "link_method in ('no_places_data', 'unmatched') or county_fips is not null", "sure_ways_only": "not is_high_confidence or link_method in ('zip_single_county', 'zip_name_agrees')"},
+    },
+    "dim_county": {"key": ("county_fips",), "not_null": ("county_fips", "county_name", "state", "has_chronic_measures", "has_social_measures"), "form": _FIPS, "ranges": {f"{v}_pct": (0, 100) for v in (CHRONIC | SOCIAL).values()}},
+    "dim_hospital": {
+        "key": ("facility_id",),
+        "not_null": ("facility_id", "county_link_method", "has_hospital_profile", "is_active", "is_hrrp_hospital", "is_in_penalty_calculation"),
+        "form": _FORM,
+        "accepted": {"county_link_method": [*_LINKS, "no_hospital_profile"], "profile_source": ["current", "archive"]},
+        "parents": {"county_fips": ("dim_county", "county_fips")},
+        "ranges": _RATED,
+        "rules": {"current_is_active": "coalesce(profile_source, '') <> 'current' or is_active", "profiled_has_source": "has_hospital_profile = (profile_source is not null)"},
+        "warn": ("county_fips", "facility_id_form"),
+    },
+    "dim_fiscal_year": {
+        "key": ("fiscal_year",),
+        "not_null": ("fiscal_year", "fiscal_year_start", "fiscal_year_end", "readmission_period_start", "readmission_period_end", "has_payment_file", "is_latest_fiscal_year"),
+        "form": _YEAR,
+        "ranges": {"survey_period_months": (1, 12), "survey_ends_days_before_readmissions": (0, None)},
+        "rules": {"period_before_year": "readmission_period_end < fiscal_year_start"},
+        "warn": ("survey_period_months",),
+    },
+    "fct_readmissions": {
+        "key": ("facility_id", "condition", "fiscal_year"),
+        "not_null": ("facility_id", "condition", "fiscal_year", "fiscal_year_start", "in_public_file", "in_payment_file"),
+        "accepted": {"condition": list(CONDITIONS), "score_status": ["scored", *STATUS.values(), "unknown"]},
+        "parents": {"facility_id": ("dim_hospital", "facility_id"), "fiscal_year": ("dim_fiscal_year", "fiscal_year")},
+        "rules": {
+            "in_some_file": "in_public_file or in_payment_file", "public_has_status": "not in_public_file or score_status is not null", "counting_has_contribution": "not counts_toward_penalty or penalty_contribution is not null",
+            "contribution_not_negative": "penalty_contribution >= 0", "same_ratio_in_both": "abs(excess_readmission_ratio - payment_excess_readmission_ratio) <= 0.0001",
+        },
+        "warn": ("same_ratio_in_both", "contribution_not_negative", "facility_id_parent"),
+    },
+    "fct_hospital_year": {
+        "key": ("facility_id", "fiscal_year"),
+        "not_null": ("facility_id", "fiscal_year", "in_payment_file", "has_survey_scores"),
+        "parents": {"facility_id": ("dim_hospital", "facility_id"), "fiscal_year": ("dim_fiscal_year", "fiscal_year")},
+        "ranges": {**{f"{v}_score": (0, 100) for v in (TOPICS | RETIRED_TOPICS).values()}, **{f"{v}_stars": (1, 5) for v in (TOPICS | RETIRED_TOPICS).values()}, "summary_stars": (1, 5), "payment_reduction_pct": (0, 3)},
+        "rules": {"paid_has_reduction": "not in_payment_file or payment_reduction_pct is not null", "no_more_than_six_conditions": f"conditions_with_public_ratio <= {len(CONDITIONS)}"},
+    },
+    "ml_penalty_features": {
+        "key": ("facility_id", "fiscal_year"),
+        "not_null": ("facility_id", "fiscal_year", "split", "payment_reduction_pct", "is_penalized", "eligible_discharges", "conditions_with_25_cases"),
+        "accepted": {"split": ["train", "overlap_unused", "test"]},
+        "ranges": {"payment_reduction_pct": (0, 3), "dual_proportion": (0, 1), "conditions_with_25_cases": (0, len(CONDITIONS)), "prior_conditions_scored": (0, len(CONDITIONS)), "prior_payment_reduction_pct": (0, 3)},
+        "warn": ("dual_proportion",),
+    },
+    "time_spine": {"key": ("date_day",), "not_null": ("date_day",)},
+}
+
+
+def declared_checks(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
+    """The rules of a table by name: the rows that break each, and its severity. A rule on another table counts where that is built."""
+    df, own = t[table], RULES.get(table, {})
+    made: dict[str, tuple[str, DataFrame]] = {}
+    if "key" in own:
+        made["key"] = ("key", checks.unique(df, *own["key"]))
+    for x in own.get("not_null", ()):
+        made[f"{x}_not_null"] = (x, checks.not_null(df, x))
+    for x, pattern in own.get("form", {}).items():
+        made[f"{x}_form"] = (x, checks.full_match(df, x, pattern))
+    for x, values in own.get("accepted", {}).items():
+        made[f"{x}_accepted"] = (x, checks.accepted_values(df, x, values))
+    for x, (low, high) in own.get("ranges", {}).items():
+        made[f"{x}_range"] = (x, checks.accepted_range(df, x, low, high))
+    for x, (parent, column) in own.get("parents", {}).items():
+        if parent in t:
+            made[f"{x}_parent"] = (x, checks.relationship(df, x, t[parent], column))
+    for name, rule in own.get("rules", {}).items():
+        made[name] = (name, checks.expression_is_true(df, F.expr(rule)))
+    warn = own.get("warn", ())
+    return {f"{table}.{name}": (failing, "warn" if x in warn or name in warn else "error") for name, (x, failing) in made.items()}
+
+
+def survey_after_period(years: DataFrame) -> DataFrame:
+    """Leakage: a survey window that ends after the readmission period does."""
+    return years.where(F.col("survey_period_end") > F.col("readmission_period_end"))
+
+
+def shared_patients(features: DataFrame, years: DataFrame) -> DataFrame:
+    """Leakage: training rows whose readmission period is not over before that of the test year begins."""
+    periods = years.select("fiscal_year", "readmission_period_start", "readmission_period_end")
+    dated = features.select("facility_id", "fiscal_year", "split").join(periods, "fiscal_year")
+    begins = dated.where("split = 'test'").agg(F.min("readmission_period_start").alias("__from"))
+    return dated.where("split = 'train'").crossJoin(F.broadcast(begins)).where(F.col("readmission_period_end") >= F.col("__from")).drop("__from")
+
+
+def prior_after_target(features: DataFrame, years: DataFrame, by: int = PRIOR_YEARS) -> DataFrame:
+    """Leakage: rows with earlier results whose period is not over before the row's own begins."""
+    number = F.substring("fiscal_year", 3, 4).cast("int")
+    earlier = years.select(F.concat(F.lit("FY"), (number + by).cast("string")).alias("fiscal_year"), F.col("readmission_period_end").alias("prior_period_end"))
+    known = features.where(F.col("prior_payment_reduction_pct").isNotNull() | F.col("prior_weighted_err").isNotNull()).select("facility_id", "fiscal_year")
+    dated = known.join(earlier, "fiscal_year", "left").join(years.select("fiscal_year", "readmission_period_start"), "fiscal_year")
+    return dated.where(F.col("prior_period_end").isNull() | (F.col("prior_period_end") >= F.col("readmission_period_start")))
+
+
+def penalties_off(years: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Hospital years whose published reduction is not what their results give: the contributions times the modifier, at most 3 percent."""
+    computed = F.least(F.col("unadjusted_penalty") * F.col("neutrality_modifier") * 100, F.lit(3.0))
+    return checks.recomputes(years.where("in_payment_file"), F.col("payment_reduction_pct"), computed, tolerance)
+
+
+def missing_conditions(peers: DataFrame) -> DataFrame:
+    """(year, condition) that a payment file lacks; pneumonia is rightly absent from that of FY2023."""
+    every = peers.select("fiscal_year").distinct().select("fiscal_year", F.explode(F.array(*[F.lit(c) for c in CONDITIONS])).alias("condition"))
+    lost = every.join(peers.select("fiscal_year", "condition").distinct(), ["fiscal_year", "condition"], "left_anti")
+    return lost.where("not (fiscal_year = 'FY2023' and condition = 'PN')")
+
+
+def singular_checks(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
+    """Checks of a table that look at more than one column or table."""
+    made: dict[str, tuple[DataFrame, str]] = {}
+    if table == "stg_results_history":
+        history = t[table]
+        periods = history.groupBy("source_release").agg(F.count_distinct("period_start", "period_end").alias("periods"))
+        made["one_period_per_release"] = (periods.where("periods > 1"), "error")
+        same = ["facility_id", "condition", "excess_readmission_ratio", "discharges"]
+        last = history.where(F.col("period_start") == history.agg(F.max("period_start")).scalar())
+        made["history_ends_as_live"] = (checks.same_rows(t["stg_results"].select(same), last.select(same)), "warn")
+    if table == "stg_peer_comparisons":
+        made["conditions_per_year"] = (missing_conditions(t[table]), "warn")
+    if table == "dim_county":
+        adjusted = t["stg_county_health"].where("value_type = 'AgeAdjPrv' and value_pct is not null")
+        made["pivot_keeps_values"] = (checks.pivot_keeps_values(adjusted, "county_fips", "measure_id", "value_pct", t[table], {k: f"{v}_pct" for k, v in (CHRONIC | SOCIAL).items()}), "error")
+    if table == "dim_hospital":
+        df = t[table]
+        made["covers_sources"] = (checks.covers(df, "facility_id", [t["stg_results"], t["stg_results_history"], t["stg_payment_adjustments"], t["int_profile"]]), "error")
+        made["golden_counties"] = (checks.golden(df, "facility_id", "county_fips", GOLDEN_COUNTIES), "warn")
+        made["counties_linked"] = (checks.share_at_least(df.where("has_hospital_profile"), F.col("county_fips").isNotNull(), LEAST_LINKED), "warn")
+    if table == "dim_fiscal_year":
+        made["no_survey_after_period"] = (survey_after_period(t[table]), "error")
+    if table == "fct_readmissions":
+        keys = ["facility_id", "condition", "fiscal_year"]
+        public = t["stg_results_history"].select("facility_id", "condition", fiscal_year_of(F.col("period_start")).alias("fiscal_year"))
+        lost = public.unionByName(t["stg_peer_comparisons"].select(keys)).join(t[table].select(keys), keys, "left_anti")
+        made["covers_sources"] = (lost, "error")
+    if table == "fct_hospital_year":
+        made["penalty_recomputes"] = (penalties_off(t[table]), "warn")
+        paid = t[table].where("in_payment_file and survey_period_end is not null").groupBy("fiscal_year").agg(F.avg(F.col("has_survey_scores").cast("int")).alias("share"))
+        made["surveys_cover_year"] = (paid.where(F.col("share") < LEAST_SURVEYED), "warn")
+    if table == "ml_penalty_features":
+        made["no_shared_patients"] = (shared_patients(t[table], t["dim_fiscal_year"]), "error")
+        made["prior_before_target"] = (prior_after_target(t[table], t["dim_fiscal_year"]), "error")
+        made["covers_payments"] = (t["stg_payment_adjustments"].join(t[table], ["facility_id", "fiscal_year"], "left_anti"), "warn")
+    return {f"{table}.{name}": check for name, check in made.items()}
+
+
+def checks_of(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
+    return declared_checks(table, t) | singular_checks(table, t)
+
+
+def _checked(table: str) -> None:
+    def rule(s: checks.Suite, t: Tables) -> None:
+        for name, (failing, severity) in checks_of(table, t).items():
+            s.add(name, failing, severity)
+
+    HOSPITAL.check(table)(rule)
+
+
+for _table in HOSPITAL.nodes:
+    _checked(_table)

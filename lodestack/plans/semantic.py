@@ -55,6 +55,10 @@ class Measure:
         return makes[self.how](F.expr(self.expression))
 
 
+#: How figures are written, by the form that a metric declares.
+FORMS = {"count": "{:,.0f}", "share": "{:.1%}", "percent": "{:.2f}%", "ratio": "{:.4f}", "score": "{:.1f}"}
+
+
 @dataclass(frozen=True)
 class Metric:
     """Simple (one measure) or a ratio of two metrics, null where the denominator is 0 or missing."""
@@ -64,14 +68,24 @@ class Metric:
     measure: Measure | None = None
     ratio: tuple[str, str] | None = None
     hidden: bool = False
+    form: str = "count"
+
+    def show(self, value: float | None) -> str:
+        return "n/a" if value is None or value != value else FORMS[self.form].format(value)
 
 
 @dataclass(frozen=True)
 class Filter:
+    """``op`` is one of ``OPERATORS``, or ``in`` with a tuple of values."""
+
     dimension: str
     op: str
     value: object
 
+    def holds(self) -> Column:
+        here = F.col(self.dimension)
+        return here.isin(*self.value) if self.op == "in" else OPERATORS[self.op](here, F.lit(self.value))
+
 
 class MetricLayer:
     def __init__(self, models: Sequence[Model], metrics: Sequence[Metric], tables: Callable[[str], DataFrame]) -> None:
@@ -120,7 +134,7 @@ class MetricLayer:
             if d not in offered:
                 raise RequestError(f"{d!r} is no dimension of {', '.join(metrics)}; they share {', '.join(offered)}")
         for f in filters:
-            if f.op not in OPERATORS:
+            if f.op not in OPERATORS and not (f.op == "in" and isinstance(f.value, tuple)):
                 raise RequestError(f"no operator {f.op!r}; there are {', '.join(OPERATORS)}")
         for o in order_by:
             if o.lstrip("-") not in [*metrics, *group_by]:
@@ -161,7 +175,7 @@ class MetricLayer:
         for name, own in by_fact.items():
             rows = self._source(self.models[name], list(dict.fromkeys([*group_by, *(f.dimension for f in filters)])))
             for f in filters:
-                rows = rows.where(OPERATORS[f.op](F.col(f.dimension), F.lit(f.value)))
+                rows = rows.where(f.holds())
             made = [self.all_metrics[leaf].measure.column().alias(leaf) for leaf in own]
             parts.append(rows.groupBy(*group_by).agg(*made))
         whole = reduce(lambda a, b: self._combine(a, b, group_by), parts)

@@ -281,11 +281,11 @@ def struct_distinct_having(spark, d):
     return out.where("n > 100").drop("n")
 
 
-@query("""select facility_id, fiscal_year, round(sum(excess_readmission_ratio * discharges) / nullif(sum(discharges) filter (where excess_readmission_ratio is not null), 0), 3) as weighted,
-round(sum(readmissions) / nullif(sum(discharges), 0), 6) as rate from (select distinct * from fct_readmissions) group by all""")
+@query("""select facility_id, fiscal_year, cast(sum(cast(excess_readmission_ratio as decimal(18,6)) * discharges) as double) / nullif(cast(sum(discharges) filter (where excess_readmission_ratio is not null) as double), 0) as weighted,
+cast(sum(readmissions) as double) / nullif(cast(sum(discharges) as double), 0) as rate from (select distinct * from fct_readmissions) group by all""")
 def weighted_ratio(spark, d):
     return Q.facts(spark, d).groupBy("facility_id", "fiscal_year").agg(
-        F.round(R.weighted_mean("excess_readmission_ratio", "discharges"), 3).alias("weighted"), F.round(F.try_divide(F.sum("readmissions"), F.sum("discharges")), 6).alias("rate")
+        R.weighted_mean("excess_readmission_ratio", "discharges").alias("weighted"), F.try_divide(F.sum("readmissions"), F.sum("discharges")).alias("rate")
     )
 
 

@@ -2,7 +2,10 @@ import json
 
 import pytest
 
-from lodestack.plans.questions import Agent, Answer, Plan, Recording, Scripted, evaluate, formatted, plan_schema, render, resolve, score
+from lodestack.plans import questions as Q
+from lodestack.plans.domains import Flags, Names, Numbers, domain
+from lodestack.plans.evaluation import Case, Tape, Variant, close, evaluate, gold, mark, summary, summary_text
+from lodestack.plans.questions import Agent, Plan, Scripted, plan_schema
 from lodestack.plans.semantic import Filter, Measure, Metric, MetricLayer, Model, RequestError, parse_filter
 
 
@@ -10,7 +13,7 @@ from lodestack.plans.semantic import Filter, Measure, Metric, MetricLayer, Model
 def layer(spark):
     sales = spark.createDataFrame([(1, "FY1", 10.0, "a"), (1, "FY2", 5.0, "b"), (2, "FY2", None, "a"), (3, "FY2", 7.0, "b"), (9, "FY2", 1.0, "b")], "shop int, year string, amount double, kind string")
     visits = spark.createDataFrame([(1, "FY2", 4), (2, "FY3", 2), (None, "FY2", 8)], "shop int, year string, n int")
-    shops = spark.createDataFrame([(1, "North", "X"), (2, "South", "Y"), (3, None, "X")], "shop_id int, name string, town string")
+    shops = spark.createDataFrame([(1, "North", "X"), (2, "South", "Y"), (3, None, "X"), (9, "North", "Y")], "shop_id int, name string, town string")
     towns = spark.createDataFrame([("X", "Land X"), ("Y", "Land Y")], "town string, land string")
     models = [
         Model("sales", "sales", "sale", joins={"shop": "shop"}, dimensions={"kind": "kind"}, shared={"year": "year"}),
@@ -21,7 +24,7 @@ def layer(spark):
     metrics = [
         Metric("amount", "Amount", Measure("sales", "sum", "amount")),
         Metric("sold", "Sold", Measure("sales", "count", "amount"), hidden=True),
-        Metric("share_big", "Share big", ratio=("big", "sold")),
+        Metric("share_big", "Share big", ratio=("big", "sold"), form="share"),
         Metric("big", "Big", Measure("sales", "sum", "case when amount > 6 then 1 else 0 end")),
         Metric("visits", "Visits", Measure("visits", "sum", "n")),
     ]
@@ -36,13 +39,13 @@ def found(df):
 def test_simple_ratio_and_hops(layer):
     assert found(layer.query(["amount"], ["year"])) == {"FY1": 10.0, "FY2": 13.0}
     assert found(layer.query(["share_big"], ["sale__kind"])) == {"a": 1.0, "b": 1 / 3}
-    assert found(layer.query(["amount"], ["shop__town__land"])) == {"Land X": 22.0, "Land Y": None, None: 1.0}
+    assert found(layer.query(["amount"], ["shop__town__land"])) == {"Land X": 22.0, "Land Y": 1.0}
     assert found(layer.query(["share_big"], ["year"], [Filter("sale__kind", "=", "none")])) == {}
 
 
 def test_several_facts(layer):
     rows = {r[0]: (r[1], r[2]) for r in layer.query(["amount", "visits"], ["shop__name"]).collect()}
-    assert rows == {"North": (15.0, 4), "South": (None, 2), None: (8.0, 8)}
+    assert rows == {"North": (16.0, 4), "South": (None, 2), None: (7.0, 8)}
     assert tuple(layer.query(["amount", "visits"]).first()) == (23.0, 14)
 
 
@@ -77,77 +80,149 @@ def test_filters_as_typed(text, want):
         parse_filter("nothing")
 
 
-NAMES = ["MERCY HOSPITAL", "JOHNS HOPKINS HOSPITAL, THE", "JOHNS HOPKINS BAYVIEW", "ST MARY", "MD"]
+HOSPITALS = Names(("MERCY HOSPITAL", "JOHNS HOPKINS HOSPITAL, THE", "JOHNS HOPKINS BAYVIEW", "ST MARY", "MD"), {"maryland": "MD", "nowhere": "ZZ"})
 
 
-@pytest.mark.parametrize("said,want", [("MD", "MD"), ("maryland", "MD"), ("mercy hospital", "MERCY HOSPITAL"), ("MERCY HOSPTIAL", "MERCY HOSPITAL"), ("bayview", "JOHNS HOPKINS BAYVIEW")])
-def test_values_are_resolved(said, want):
-    assert resolve("d", said, NAMES, {"maryland": "MD"})[0] == want
+@pytest.mark.parametrize(
+    "typed,meant",
+    [("MD", "MD"), ("Maryland", "MD"), ("mercy hospital", "MERCY HOSPITAL"), ("MERCY HOSPTIAL", "MERCY HOSPITAL"), ("bayview", "JOHNS HOPKINS BAYVIEW"), ("johns hopkins hospital", "JOHNS HOPKINS HOSPITAL, THE"), ("hop bay", "JOHNS HOPKINS BAYVIEW")],
+)
+def test_names_are_read(typed, meant):
+    reading = HOSPITALS.read(typed)
+    assert reading.value == meant and (reading.note is None) == (typed == meant)
+
+
+@pytest.mark.parametrize("typed,why", [("johns hopkins", "any of"), ("x' or 1=1 --", "no value"), ("zzzz", "no value"), ("", "no value"), ("nowhere", "no value"), ("merci hopsital", "MERCY HOSPITAL")])
+def test_names_that_are_unclear(typed, why):
+    with pytest.raises(RequestError, match=why):
+        HOSPITALS.read(typed)
 
 
-@pytest.mark.parametrize("said", ["johns hopkins", "x' or 1=1", "zzzz"])
-def test_values_are_refused(said):
+def test_exact_names():
+    assert HOSPITALS.read("MD", exact=True).value == "MD"
     with pytest.raises(RequestError):
-        resolve("d", said, NAMES)
+        HOSPITALS.read("md", exact=True)
 
 
-def test_booleans_numbers_and_strictness():
-    assert resolve("d", "yes", [True, False]) == (True, None) and resolve("d", "3", [1, 2, 3.0]) == (3.0, None)
-    for said, known in (("maybe", [True, False]), ("x", [1, 2])):
+def test_flags_and_numbers():
+    assert isinstance(domain([True, False]), Flags) and isinstance(domain([1, 2.5]), Numbers) and isinstance(domain([]), Names)
+    assert domain([True]).read("Yes").value is True and domain([3]).read("1,360").value == 1360.0 and domain([3]).read("-.5").value == -0.5
+    for known, typed in (([True], "maybe"), ([1], "one"), ([1], "1 or 2")):
         with pytest.raises(RequestError):
-            resolve("d", said, known)
-    with pytest.raises(RequestError):
-        resolve("d", "md", NAMES, strict=True)
+            domain(known).read(typed)
+
+
+@pytest.mark.parametrize("form,value,text", [("share", 0.7823, "78.2%"), ("percent", 0.3441, "0.34%"), ("ratio", 1.00179, "1.0018"), ("count", 2303, "2,303"), ("score", 71.04, "71.0"), ("count", None, "n/a"), ("score", float("nan"), "n/a")])
+def test_figures_are_written_as_declared(form, value, text):
+    assert Metric("m", "M", form=form).show(value) == text
 
 
-@pytest.mark.parametrize("name,value,want", [("share_x", 0.7823, "78.2%"), ("a_pct", 0.3441, "0.34%"), ("avg_excess_readmission_ratio", 1.00179, "1.0018"), ("hospitals", 2303, "2,303"), ("x_score", 71.04, "71.0"), ("x", None, "n/a"), ("x", float("nan"), "n/a")])
-def test_formats(name, value, want):
-    assert formatted(name, value) == want
+CONTEXT = Q.Context("year", lambda: "FY2", lambda f: (str(f.value).upper(), None))
+
+
+def test_each_rewrite_by_itself():
+    two = Plan(("m",), (), (Filter("kind", "=", "A"), Filter("kind", "=", "B"), Filter("kind", "!=", "C"), Filter("x", "=", 1)))
+    made, notes = Q.comparisons(two, CONTEXT)
+    assert made.filters == (Filter("kind", "!=", "C"), Filter("x", "=", 1), Filter("kind", "in", ("A", "B"))) and made.group_by == ("kind",) and len(notes) == 1
+    assert Q.comparisons(Plan(("m",), (), (Filter("x", "=", 1), Filter("x", "=", 1))), CONTEXT)[0].group_by == ()
+    ranged = Plan(("m",), ("kind",), (Filter("year", ">=", "FY1"),))
+    assert Q.rows_of_years(ranged, CONTEXT)[0].group_by == ("year", "kind") and Q.rows_of_years(two, CONTEXT) == (two, [])
+    assert Q.latest_year(two, CONTEXT)[0].filters[-1] == Filter("year", "=", "FY2") and Q.latest_year(ranged, CONTEXT)[0] == ranged
+    assert Q.stored_values(Plan(("m",), (), (Filter("kind", "=", "a"),)), CONTEXT)[0].filters[0].value == "A"
 
 
 def plan(**fields):
     return json.dumps({"action": "query", "decline_reason": "none", "metrics": [], "group_by": [], "filters": [], "sort": "none", "limit": 50} | fields)
 
 
-def ask(layer, *replies, rules=True):
-    model = Recording(Scripted(replies))
-    return Agent(layer, model, year="year", rules=rules).ask("a question"), model
+def ask(layer, *replies, **options):
+    model = Scripted(replies)
+    return Agent(layer, model, year="year", **options).ask("a question"), model
 
 
 def test_answers(layer):
     answer, _ = ask(layer, plan(metrics=["amount", "amount"]))
-    assert answer.status == "answered" and answer.rows == [{"amount": 13.0}] and "FY2" in answer.text and answer.plan.metrics == ("amount",)
-    answer, _ = ask(layer, plan(metrics=["amount"], group_by=["shop__name"], sort="highest_first", limit=1))
-    assert [r["shop__name"] for r in answer.rows] == ["North"]
+    assert answer.status == "answered" and answer.rows == [{"amount": 13.0}] and answer.plan.metrics == ("amount",) and "FY2" in answer.text
     answer, _ = ask(layer, plan(metrics=["amount"], filters=[{"dimension": "sale__kind", "op": "=", "value": "A"}, {"dimension": "sale__kind", "op": "=", "value": "b"}, {"dimension": "year", "op": ">=", "value": "fy1"}]))
     assert {(r["year"], r["sale__kind"]) for r in answer.rows} == {("FY1", "a"), ("FY2", "a"), ("FY2", "b")} and len(answer.notes) >= 3
 
 
-def test_repair_decline_and_failure(layer):
+def test_a_ranking_says_what_it_left_out(layer):
+    answer, _ = ask(layer, plan(metrics=["amount"], group_by=["shop__name"], sort="highest_first", limit=1))
+    assert [r["shop__name"] for r in answer.rows] == ["North"] and any(n.startswith("1 row without name") for n in answer.notes)
+
+
+def test_bearers_of_one_name(layer):
+    one = [{"dimension": "shop__name", "op": "=", "value": "north"}]
+    answer, _ = ask(layer, plan(metrics=["amount"], filters=one), namesakes=("shop__name", "shop__town__land"))
+    assert any("Land X, Land Y" in n for n in answer.notes)
+    both = [*one, {"dimension": "shop__town__land", "op": "=", "value": "Land X"}]
+    answer, _ = ask(layer, plan(metrics=["amount"], filters=both), namesakes=("shop__name", "shop__town__land"))
+    assert not any("several" in n for n in answer.notes)
+
+
+def test_missing_figures_are_noted(layer):
+    answer, _ = ask(layer, plan(metrics=["amount"], group_by=["shop__name"]))
+    assert any(n.startswith("n/a") for n in answer.notes) and "n/a" in answer.text and "(none)" in answer.text
+
+
+def test_second_chance_decline_and_failure(layer):
     answer, model = ask(layer, "not json", plan(metrics=["amount"]))
-    assert answer.status == "answered" and len(model.replies) == 2
+    assert answer.status == "answered" and len(model.calls) == 2 and "cannot be used" in model.calls[1][-1]["content"]
     assert ask(layer, plan(action="decline", decline_reason="causal"))[0].status == "declined"
-    assert ask(layer, plan(), plan(metrics=["amount"], group_by=["nope"]))[0].status == "failed"
-    assert ask(layer, plan(metrics=["amount"], filters=[{"dimension": "sale__kind", "op": "=", "value": "A"}]), plan(metrics=["nope"]), rules=False)[0].status == "failed"
-    agent = Agent(layer, Scripted([]), year="year")
-    assert agent.ask(" ").status == "failed" and agent.ask("x" * 501).status == "failed"
+    answer, model = ask(layer, plan(), plan(metrics=["amount"], group_by=["nope"]))
+    assert answer.status == "failed" and len(model.calls) == 2
+    assert ask(layer, plan(metrics=["amount"], filters=[{"dimension": "sale__kind", "op": "=", "value": "A"}]), "[]", rules=False)[0].status == "failed"
+    silent = Agent(layer, Scripted([]), year="year")
+    assert silent.ask(" ").status == "failed" and silent.ask("x" * 501).status == "failed"
 
 
 def test_schema_and_prompt(layer):
     schema = plan_schema(["amount"], ["year"])
     assert schema["properties"]["metrics"]["items"]["enum"] == ["amount"] and schema["properties"]["filters"]["maxItems"] == 4
-    assert "share_big" in Agent(layer, Scripted([]), year="year").prompt()
+    prompt = Agent(layer, Scripted([]), year="year", examples=[("How much?", "{}")], hidden=["sale__kind"]).prompt()
+    assert "share_big" in prompt and "How much?" in prompt and "sale__kind" not in prompt
+
+
+CASES = [
+    Case.read({"id": 1, "category": "plain", "question": "by year", "metric": "amount", "keys": ["year"], "sql": "select year, sum(amount) as v from sales group by year", "plan": {"metrics": ["amount"], "group_by": ["year"]}}),
+    Case.read({"id": "two", "category": "filter", "question": "one", "metric": ["big", "amount"], "sql": "select sum(amount) as v from sales where kind = 'a' and year = 'FY1'", "plan": {"metrics": ["amount"], "filters": [["sale__kind", "=", "A"], ["year", "=", "FY1"]]}}),
+    Case.read({"id": 3, "category": "no", "question": "why", "expect": "decline", "reason": "causal"}),
+]
+
+
+@pytest.fixture(scope="module")
+def truth(spark, layer):
+    return gold(spark, {"sales": layer.tables("sales")}, CASES)
+
+
+def agent_of(layer):
+    return lambda variant, model: Agent(layer, model, year="year", rules=variant.rules, examples=[("q", "p")] if variant.examples else ())
+
+
+def test_reference_plans_are_right(layer, truth):
+    found = evaluate(CASES, agent_of(layer), truth, variants=[Variant("full"), Variant("no_rules", rules=False)])
+    said = summary(found)
+    assert said["full"]["accuracy"] == 1.0 and said["full"]["by_category"] == {"plain": 1.0, "filter": 1.0, "no": 1.0} and said["full"]["p90"] >= said["full"]["p50"]
+    assert said["no_rules"]["accuracy"] == pytest.approx(2 / 3) and said["no_rules"]["action"] == pytest.approx(2 / 3)
+    assert "100% of 3 right" in summary_text(said)
 
 
-def test_evaluation(layer):
-    good, bad = plan(metrics=["amount"], group_by=["year"]), plan(metrics=["visits"], group_by=["year"])
-    cases = [{"question": "q", "expected": [{"year": "FY1", "amount": 10.0}, {"year": "FY2", "amount": 13.0}], "keys": ["year"], "values": ["amount"]}] * 2 + [{"question": "q"}]
-    out = evaluate(cases, Agent(layer, Scripted([good, bad, plan(action="decline")]), year="year"))
-    assert out["right"] == [True, False, True] and out["p90"] >= 0
-    assert score(Answer("q", "answered", "", rows=[{"k": 1, "v": None}]), [{"k": 1, "v": None}], ["k"], ["v"])["values"]
+def test_wrong_answers_are_told_apart(layer, truth):
+    of = lambda reply: Agent(layer, Scripted([reply] * 2), year="year").ask("q")
+    assert not mark(CASES[0], of(plan(metrics=["visits"], group_by=["year"])), truth["1"]).metric
+    assert not mark(CASES[0], of(plan(metrics=["amount"])), truth["1"]).breakdown
+    wrong = mark(CASES[0], of(plan(metrics=["amount"], group_by=["year"], filters=[{"dimension": "sale__kind", "op": "=", "value": "b"}])), truth["1"])
+    assert wrong.breakdown and not wrong.rows and not wrong.right
+    wrong = mark(CASES[0], of(plan(metrics=["amount"], group_by=["year"], filters=[{"dimension": "sale__kind", "op": "=", "value": "a"}])), truth["1"])
+    assert wrong.rows and not wrong.values
+    assert not mark(CASES[2], of(plan(metrics=["amount"])), None).right and not mark(CASES[0], of("x"), truth["1"]).action
+    assert close(None, float("nan")) and not close(None, 0.0) and close(1.0, 1.0 + 1e-12)
 
 
-def test_render():
-    p = Plan(("a_pct",), ("hospital__state",), (Filter("fiscal_year", "=", "FY1"),))
-    text = render(p, [{"hospital__state": None, "a_pct": 1.0}], {"a_pct": "A"})
-    assert "(none)" in text and "1.00%" in text and render(p, [], {"a_pct": "A"}).startswith("There is nothing")
+def test_replies_are_kept_and_played(layer, truth, tmp_path):
+    tape, model = Tape(), Scripted([c.reference_reply() for c in CASES])
+    live = evaluate(CASES, agent_of(layer), truth, model, [Variant("full")], tape)
+    tape.save(tmp_path / "tape.json")
+    again = evaluate(CASES, agent_of(layer), truth, None, [Variant("full")], Tape.load(tmp_path / "tape.json"))
+    assert [o.marks for o in live] == [o.marks for o in again] and all(o.marks.right for o in again)
