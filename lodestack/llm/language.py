@@ -43,20 +43,23 @@ CENTROIDS = 3
 #: Most sentences of which a task keeps the language.
 MOST_KEPT = 100_000
 
-#: Characters whose n-grams are handled at once.
-SLICE = 200_000
+#: Characters whose n-grams are handled at once, and rows of which occurrences are marked at once.
+SLICE, MARKED = 200_000, 64
 
 #: For the fit, a stretch that no stop ends, or longer than any sentence, is cut into windows of WINDOW words, every STEP words.
 WINDOW, STEP, SENTENCE = 8, 4, 40
 
 #: Where languages meet without a stop, a change costs so much of the words' evidence; a part must have so much more of it than
 #: its neighbours' languages have there, and be so sure or have very much more, to count.
-CHANGE, GAIN, ALONE, CLEAR = 2.0, 3.5, 0.85, 7.0
+CHANGE, GAIN, ALONE, CLEAR = 2.0, 4.5, 0.85, 8.0
 
 #: A stretch is rejected below this part of the score that all but 2 % of its language's training sentences reach, or
 #: if the next language comes closer than MARGIN.
 FLOOR, MARGIN = 0.5, 0.02
 
+#: A margin of 1/SLOPE more makes the odds of a language e times as good.
+SLOPE = 20
+
 #: A sentence counts from so many words on (half the letters in Chinese), a stretch that no stop ends from more.
 LEAST_WORDS, LEAST_OPEN = 3, 5
 
@@ -154,9 +157,9 @@ def _join(tokens: list[str]) -> str:
     return re.sub(r"(?<=[一-鿿]) (?=[一-鿿])", "", " ".join(tokens))
 
 
-def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of each row (sorted by row): row, feature, count. n from 2 to 4, a blank at either end of
-    a word being part of them, and single signs of Chinese."""
+def hashed(rows: list[str]) -> np.ndarray:
+    """All n-grams of the rows as row * FEATURES + feature. n from 2 to 4, a blank at either end of a word being
+    part of them, and single signs of Chinese."""
     codes = np.frombuffer("\0".join(f" {r} " for r in rows).encode("utf-32-le"), np.uint32).astype(np.uint64)
     row = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(r) + 3 for r in rows])[: len(codes)]
     border, blank = codes == 0, codes == 32
@@ -177,10 +180,26 @@ def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             ok &= ~(blank[:m] & blank[1 : m + 1])
         mixed = (value * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(64 - BITS)
         keys.append((row[:m][ok] << np.uint64(BITS)) | mixed[ok])
-    found, counts = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_counts=True)
+    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+
+
+def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of each row (sorted by row): row, feature, count."""
+    found, counts = np.unique(hashed(rows), return_counts=True)
     return (found >> np.uint64(BITS)).astype(np.int32), (found & np.uint64(FEATURES - 1)).astype(np.int32), counts
 
 
+def rows_with(rows: list[str]) -> np.ndarray:
+    """In how many of the rows each feature occurs; marked in a table of rows by features, in parts of ``MARKED`` rows."""
+    total = np.zeros(FEATURES, np.int64)
+    for a in range(0, len(rows), MARKED):
+        some = rows[a : a + MARKED]
+        marks = np.zeros(len(some) * FEATURES, bool)
+        marks[hashed(some)] = True
+        total += marks.reshape(len(some), FEATURES).sum(axis=0)
+    return total
+
+
 def slices(rows: list[str]) -> Iterator[tuple[int, list[str]]]:
     """The rows in parts of about ``SLICE`` characters, with the place of each part."""
     at, size = 0, 0
@@ -198,6 +217,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     floors: np.ndarray
+    lengths: np.ndarray
     seen: dict[str, tuple[int, float]] = field(default_factory=dict)
     words: dict[str, np.ndarray] = field(default_factory=dict)
     places: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
@@ -223,7 +243,7 @@ class Model:
         return out
 
     def scores(self, rows: list[str]) -> np.ndarray:
-        """Cosine with the nearest centroid of each language, less what all centroids share."""
+        """Cosine with the nearest centroid of each language."""
         near = self.nearness(*self.vectors(rows), len(rows))
         return near.reshape(len(rows), len(LANGUAGES), -1).max(axis=2)
 
@@ -240,13 +260,13 @@ class Model:
             ordered = np.sort(scores, axis=1)
             top, margin = ordered[:, -1], ordered[:, -1] - ordered[:, -2]
             ok = (top >= FLOOR * self.floors[best]) & (margin >= MARGIN)
-            sure = np.round(1 / (1 + np.exp(-20 * (margin - MARGIN))), 4)
+            sure = np.round(1 / (1 + np.exp(-SLOPE * (margin - MARGIN))), 4)
             self.seen.update(zip(new, zip(np.where(ok, best, -1).tolist(), sure.tolist())))
         return [self.seen[r] for r in rows]
 
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """What each word by itself says for each language. No n-gram reaches over words, so a text's n-grams are its words'."""
+        """What each word by itself says for each language, by what the languages have of their own. No n-gram reaches over words, so a text's n-grams are its words'."""
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if len(self.words) + len(new) > MOST_KEPT:
             self.words.clear()
@@ -254,7 +274,7 @@ class Model:
         for at, some in slices(new):
             row, feature, count = grams(some)
             near = self.nearness(row, feature, (self.idf[feature] * count).astype(np.float32), len(some))
-            self.words.update(zip(some, near.reshape(len(some), len(LANGUAGES), -1).max(axis=2)))
+            self.words.update(zip(some, (near * self.lengths).reshape(len(some), len(LANGUAGES), -1).max(axis=2)))
         return np.array([self.words[w] for w in words], np.float32)
 
     def paths(self, rows: list[list[str]]) -> list[np.ndarray]:
@@ -323,7 +343,7 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
             some = [s for s in some if s]
             texts += len(some)
             for _, part in slices(some):
-                seen += np.bincount(grams(part)[1], minlength=FEATURES)
+                seen += rows_with(part)
         used = np.flatnonzero(seen)
         yield pd.DataFrame({"feature": np.append(used, -1), "n": np.append(seen[used], texts)})
 
@@ -338,11 +358,39 @@ def without_accents(text: str) -> str:
     return "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
 
 
-def _centroids(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Normalised means of the vectors in each group, less what all have in common."""
+def _centroids(row: np.ndarray, feature: np.ndarray, weight: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised means of the vectors in each group, less what all have in common, normalised again, so that the product
+    of a normalised vector with one is their cosine; and their lengths before that, which are what a language has of its own."""
+    length = lambda x: np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     flat = np.bincount(group[row] * FEATURES + feature, weight, groups * FEATURES).reshape(groups, FEATURES)
-    flat = np.ascontiguousarray((flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-9)).T.astype(np.float32))
-    return flat - flat.mean(axis=1, keepdims=True)
+    flat /= length(flat)
+    flat -= flat.mean(axis=0)
+    own = length(flat)
+    return np.ascontiguousarray((flat / own).T.astype(np.float32)), own[:, 0].astype(np.float32)
+
+
+def training_stretches(df: DataFrame, key: str, text: str, label: str) -> pd.DataFrame:
+    """(``__l``, ``__p``): at most ``TRAINING_STRETCHES`` stretches of each of at most ``TRAINING_TEXTS`` texts a label, the texts with the
+    smallest hashes. Hashes of texts are ranked, never texts; those up to each label's last hash are read again, and only
+    their stretches go to the driver, equal texts once."""
+    named = df.select(F.col(text).alias("__t"), canonical_label(F.col(label)).alias("__l"), F.xxhash64(F.col(key), F.col(text)).alias("__h"))
+    named = named.where(F.col("__l").isin(*LANGUAGES) & F.col("__t").isNotNull())
+    hashes = named.select("__l", "__h").distinct().withColumn("__r", F.row_number().over(Window.partitionBy("__l").orderBy("__h")))
+    last = {r["__l"]: r["__last"] for r in hashes.where(F.col("__r") <= TRAINING_TEXTS).groupBy("__l").agg(F.max("__h").alias("__last")).collect()}
+    chosen = F.lit(False)
+    for lang, most in last.items():
+        chosen |= (F.col("__l") == lang) & (F.col("__h") <= most)
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = []
+            for body in pdf["__t"]:
+                pieces = [p for start, end, letters, stopped in stretches(body) for *_, p in windows(start, end, letters, stopped) if words_of(p) >= LEAST_WORDS]
+                made.append(pieces[:: max(1, -(-len(pieces) // TRAINING_STRETCHES))])
+            yield pd.DataFrame({"__l": pdf["__l"], "__h": pdf["__h"], "__p": made})
+
+    cut_texts = named.where(chosen).select("__l", "__h", "__t").mapInPandas(cut_up, "__l string, __h bigint, __p array<string>")
+    return cut_texts.groupBy("__l", "__h").agg(F.any_value("__p").alias("__p")).toPandas().sort_values(["__l", "__h"])
 
 
 def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
@@ -355,32 +403,29 @@ def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
     """
     frequency, texts = document_frequencies(df, text)
     idf = np.log((texts + 1) / (frequency + 1)) + 1
-    named = df.select(F.col(text).alias("__t"), canonical_label(F.col(label)).alias("__l"), F.xxhash64(F.col(key), F.col(text)).alias("__h"))
-    named = named.where(F.col("__l").isin(*LANGUAGES) & F.col("__t").isNotNull())
-    some = named.withColumn("__r", F.row_number().over(Window.partitionBy("__l").orderBy("__h", "__t"))).where(F.col("__r") <= TRAINING_TEXTS)
-    sample = some.select("__l", "__t").toPandas().sort_values(["__l", "__t"])
+    sample = training_stretches(df, key, text, label)
     rows: list[str] = []
     labels: list[int] = []
-    for lang, body in zip(sample["__l"], sample["__t"]):
-        pieces = [p for start, end, letters, stopped in stretches(body) for *_, p in windows(start, end, letters, stopped) if words_of(p) >= LEAST_WORDS]
-        for piece in pieces[:: max(1, -(-len(pieces) // TRAINING_STRETCHES))]:
+    for lang, pieces in zip(sample["__l"], sample["__p"]):
+        for piece in pieces:
             rows += [piece, without_accents(piece)]
             labels += [LANGUAGES.index(lang)] * 2
     n = len(LANGUAGES)
-    model = Model(idf.astype(np.float32), np.zeros((FEATURES, n), np.float32), np.ones(n))
+    model = Model(idf.astype(np.float32), np.zeros((FEATURES, n), np.float32), np.ones(n), np.zeros(n, np.float32))
     if not rows:
         return model
     row, feature, weight = model.vectors(rows)
     group = np.array(labels)
     for _ in range(3):
-        model.centroids = _centroids(row, feature, weight, group, n)
-        group = model.nearness(row, feature, weight, len(rows)).argmax(axis=1)
+        model.centroids, model.lengths = _centroids(row, feature, weight, group, n)
+        group = (model.nearness(row, feature, weight, len(rows)) * model.lengths).argmax(axis=1)
     fine = group * CENTROIDS + np.arange(len(rows)) // 2 % CENTROIDS
     for _ in range(4):
-        model.centroids = _centroids(row, feature, weight, fine, n * CENTROIDS)
-        near = model.nearness(row, feature, weight, len(rows)).reshape(len(rows), n, CENTROIDS)
-        fine = group * CENTROIDS + near[np.arange(len(rows)), group].argmax(axis=1)
-    best = near.max(axis=(1, 2))
+        model.centroids, model.lengths = _centroids(row, feature, weight, fine, n * CENTROIDS)
+        near = model.nearness(row, feature, weight, len(rows))
+        own = (near * model.lengths).reshape(len(rows), n, CENTROIDS)
+        fine = group * CENTROIDS + own[np.arange(len(rows)), group].argmax(axis=1)
+    best = near.max(axis=1)
     model.floors = np.array([np.quantile(best[group == i], 0.02) if (group == i).any() else 1.0 for i in range(n)])
     return model
 
@@ -411,15 +456,15 @@ def judged(texts: list[str], model: Model) -> list[list[Stretch]]:
         out[i].append(Stretch(a, b, words_of(piece), lang, sure, cut, stopped))
     short = [i for i, found in enumerate(out) if found and not counted(found)]
     if short:
-        # Nothing is near enough or long enough by itself: the nearest language of all words together.
+        # Nothing is near enough or long enough by itself: all words together, rejected by the same distance and margin.
         words: dict[int, list[str]] = {i: [] for i in short}
         for (i, *_), piece in zip(where, rows):
             if i in words:
                 words[i].append(piece)
-        scores = model.scores([" ".join(words[i]) for i in short])
-        for i, row in zip(short, scores):
-            if row.max() > 0:
-                out[i] = [Stretch(out[i][0].start, out[i][-1].end, LEAST_WORDS, int(row.argmax()), round(float(row.max()), 4), False)]
+        joined = [" ".join(words[i]) for i in short]
+        for i, piece, (lang, sure) in zip(short, joined, model.judge(joined)):
+            if lang >= 0:
+                out[i] = [Stretch(out[i][0].start, out[i][-1].end, max(words_of(piece), LEAST_WORDS), lang, sure, False)]
     return out
 
 
@@ -455,7 +500,7 @@ def _identified(df: DataFrame, keep: list[str], text: str, model: Model, segment
     if segments:
         parts = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType()).add("confidence", T.DoubleType())
         schema = schema.add("segments", T.ArrayType(parts))
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors))
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors, model.lengths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)

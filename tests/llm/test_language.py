@@ -144,3 +144,42 @@ def test_fit_without_labels(spark):
     model = L.fit(df, "doc_id", "text", "lang")
     assert L.wrong_labels(df, "doc_id", "text", "lang", model).count() == 0
     assert L.wrong_labels(df.limit(0), "doc_id", "text", "lang", L.fit(df.limit(0), "doc_id", "text", "lang")).count() == 0
+
+
+def test_other_languages_are_rejected(model):
+    """Nothing is forced into the eight languages, however short the text is."""
+    texts = [
+        "Pielęgniarka sprawdziła wszystkie wiersze tabeli przed końcem miesiąca.",
+        "Hemşire ayın sonundan önce tablonun bütün satırlarını gözden geçirdi.",
+        "Gwiriodd y nyrs bob rhes o'r tabl cyn diwedd y mis.",
+        "Sairaanhoitaja tarkasti kaikki taulukon rivit ennen kuukauden loppua.",
+        "Dziękujemy bardzo.",
+    ]
+    assert languages(model, texts) == [set()] * len(texts)
+
+
+def test_scores_are_cosines(model):
+    import numpy as np
+
+    assert np.allclose(np.linalg.norm(model.centroids, axis=0), 1, atol=1e-4)
+    rows = ["the hospital checked the number of patients", "die prüfstelle verglich zwei zeilen"]
+    row, _, weight = model.vectors(rows)
+    assert np.allclose(np.bincount(row, weight**2), 1, atol=1e-4) and np.abs(model.scores(rows)).max() <= 1
+
+
+def test_occurrences_are_counted_once_a_row():
+    import numpy as np
+
+    rows = ["aa aa aa", "aa bb", "", "北京 北京"] * 40
+    want = np.zeros(L.FEATURES, int)
+    for r in rows:
+        want[np.unique(L.grams([r])[1])] += 1
+    assert (L.rows_with(rows) == want).all()
+
+
+def test_training_stretches_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAINING_TEXTS", 3)
+    rng = random.Random(21)
+    rows = [(i % 5, text(rng, "en", 30), "english") for i in range(10)] + [(9, "x", "pl"), (9, None, "en"), (None, text(rng, "de", 2), "de")] + [(77, "The same text stands here again.", "en")] * 50
+    made = L.training_stretches(spark.createDataFrame(rows, "i int, t string, l string"), "i", "t", "l")
+    assert made.groupby("__l").size().to_dict() == {"de": 1, "en": 3} and max(len(p) for p in made["__p"]) <= L.TRAINING_STRETCHES
