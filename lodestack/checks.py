@@ -115,11 +115,6 @@ def golden(df: DataFrame, key: str, value: str, expected: Mapping) -> DataFrame:
     return found.where(~F.col("found").eqNullSafe(F.col("expected"))).select(F.col("__k").alias(key), "expected", "found")
 
 
-def not_before(df: DataFrame, earlier: str, later: str) -> DataFrame:
-    """Leakage guard: rows in which what should lie earlier does not end before the later begins."""
-    return df.where(F.col(earlier) >= F.col(later))
-
-
 @dataclass
 class Check:
     """A named rule. ``where`` limits it to some rows of its table; ``error`` stops what depends on the table, ``warn`` does not."""

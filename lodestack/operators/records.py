@@ -67,8 +67,9 @@ def states_before(classes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return before.T.reshape(-1)[:n]
 
 
-def tokenize(lines: pa.Array, tabs: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """For each record: whether its quoting is broken, and its fields (an empty list where it is).
+def tokenize(lines: pa.Array, tabs: np.ndarray) -> tuple[np.ndarray, pa.ListArray, pa.ListArray, np.ndarray]:
+    """For each record: whether its quoting is broken; its fields, and the byte at which each begins (empty lists where it is); and the
+    byte at which it breaks: the one after a closing quote, or the quote that is not closed (its length if it does not).
 
     ``tabs`` says which records are delimited by tabs, the others by commas. A field is quoted if it begins with
     a quote; ``""`` inside is a quote, and a quote elsewhere is an ordinary character. Line ends are ordinary
@@ -77,7 +78,7 @@ def tokenize(lines: pa.Array, tabs: np.ndarray) -> tuple[np.ndarray, pa.ListArra
     lines = lines.cast(pa.large_string()).fill_null("")
     n = len(lines)
     if not n:
-        return np.empty(0, bool), pa.array([], pa.list_(pa.string()))
+        return np.empty(0, bool), pa.array([], pa.list_(pa.string())), pa.array([], pa.list_(pa.int32())), np.empty(0, np.int32)
     offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + n + 1]
     data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     lengths = np.diff(offsets)
@@ -100,22 +101,35 @@ def tokenize(lines: pa.Array, tabs: np.ndarray) -> tuple[np.ndarray, pa.ListArra
     field_ends = np.cumsum(~dropped)[border]
     values = pa.StringArray.from_buffers(len(field_ends), pa.py_buffer(np.concatenate([[0], field_ends]).astype(np.int32)), pa.py_buffer(kept))
     fields = np.concatenate([[0], np.cumsum(np.bincount(row[border], minlength=n))]).astype(np.int32)
-    return broken, pa.ListArray.from_arrays(pa.array(fields), values)
+
+    begin = ends - lengths
+    at = np.flatnonzero(border)
+    starts = np.concatenate([[0], at[:-1] + 1])[: len(at)] - begin[row[at]]
+    starts[fields[:-1][~broken]] = 0
+    breaks = lengths.copy()
+    opened = np.flatnonzero(~good & (classes == QUOTE) & (before == START))
+    breaks[row[opened]] = opened - begin[row[opened]]
+    wrong = np.flatnonzero(~good & (before == CLOSING) & (classes == OTHER))[::-1]
+    breaks[row[wrong]] = wrong - begin[row[wrong]]
+    lists = [pa.ListArray.from_arrays(pa.array(fields), v) for v in (values, pa.array(starts.astype(np.int32)))]
+    return broken, *lists, breaks.astype(np.int32)
 
 
 def tokenized(df: DataFrame, line: str, tab: str, keep: list[str]) -> DataFrame:
-    """``keep`` with ``__broken`` and ``__fields`` of each raw record in ``line``; ``tab``: a boolean column."""
+    """``keep`` with ``__broken``, ``__fields``, ``__starts`` and ``__breaks`` of each raw record in ``line``; ``tab``: a boolean column."""
     rows = df.select(*keep, F.col(line).alias("__line"), F.col(tab).alias("__tab"))
     schema = T.StructType([f for f in rows.schema if f.name in keep])
-    schema = schema.add("__broken", T.BooleanType()).add("__fields", T.ArrayType(T.StringType()))
+    made = {"__broken": T.BooleanType(), "__fields": T.ArrayType(T.StringType()), "__starts": T.ArrayType(T.IntegerType()), "__breaks": T.IntegerType()}
+    for name, kind in made.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, max(len(whole), 1), 4096):
                 batch = whole.slice(at, 4096)
                 tabs = np.asarray(batch.column("__tab").fill_null(False).to_numpy(zero_copy_only=False), bool)
-                broken, fields = tokenize(batch.column("__line"), tabs)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(broken), fields], names=[*keep, "__broken", "__fields"])
+                broken, fields, starts, breaks = tokenize(batch.column("__line"), tabs)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(broken), fields, starts, pa.array(breaks)], names=[*keep, *made])
 
     return rows.mapInArrow(run, schema)
 
@@ -157,26 +171,28 @@ def typed(value: Column, kind: str) -> Column:
 
 
 def read_records(df: DataFrame, columns: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
-    """Every record below its file's header, with ``__reason`` (null if it is valid) and ``__values``.
+    """Every record below its file's header, with ``__reason`` (null if it is valid), ``__offset`` and ``__values``.
 
     ``df`` has ``file_name`` (``.txt``: tabs, else commas), ``line_no`` and ``line``; ``columns`` maps published
     names to (name, kind); ``keep`` names columns to carry along. A file's header is its first line that holds just
-    the published names, in any order, after up to a few title lines and a byte-order mark; a file without
-    one has no records. Reasons, the first that holds: ``quoting``, ``column_count``, ``invalid_value``.
+    the published names, in any order, after up to a few title lines and a byte-order mark. Reasons, the first
+    that holds: ``no_header`` (all lines of a file without one, and lines without a file name or number: no header can be found
+    for them, but they are not lost), ``quoting``, ``column_count``, ``invalid_value``. The offset is the byte of the
+    record at which the reason holds: where quoting breaks, where the first field too many begins or the
+    record ends, where the first invalid value begins; null for ``no_header``.
 
-    A null line is an empty record (``column_count``). Rows without a file name or line number are left out, as no
-    header can be found for them. One pass reads the few lines that contain all published names, one the
+    A null line is an empty record. One pass reads the few lines that contain all published names, one the
     records; headers go to the records by broadcast while they are few, else by a join salted by line
     number, so that one huge file does not end in one task.
     """
     names = list(columns)
-    lines = df.where(F.col("file_name").isNotNull() & F.col("line_no").isNotNull()).select(
+    lines = df.select(
         *keep,
         *[c for c in ("file_name", "line_no") if c not in keep],
-        F.regexp_replace("line", "^﻿", "").alias("__text"),
+        F.regexp_replace("line", "^\ufeff", "").alias("__text"),
         F.lower("file_name").endswith(".txt").alias("__is_tab"),
     )
-    maybe = lines
+    maybe = lines.where(F.col("file_name").isNotNull() & F.col("line_no").isNotNull())
     for name in names:
         maybe = maybe.where(F.contains("__text", F.lit(name)))
     heads = tokenized(maybe, "__text", "__is_tab", ["file_name", "line_no"])
@@ -185,23 +201,29 @@ def read_records(df: DataFrame, columns: dict[str, tuple[str, str]], keep: list[
     heads = cut(heads.select(F.col("file_name").alias("__file"), "__head_no", F.array(*[F.array_position("__head", F.lit(n)).cast("int") for n in names]).alias("__at")))
 
     if heads.count() <= BROADCAST_FILES:
-        below = lines.join(F.broadcast(heads), F.col("file_name") == F.col("__file"))
+        placed = lines.join(F.broadcast(heads), F.col("file_name") == F.col("__file"), "left")
     else:
         heads = heads.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        below = lines.withColumn("__spread", F.pmod("line_no", F.lit(SALTS))).join(heads, (F.col("file_name") == F.col("__file")) & (F.col("__spread") == F.col("__salt")))
-    below = below.where(F.col("line_no") > F.col("__head_no"))
+        placed = lines.withColumn("__spread", F.pmod("line_no", F.lit(SALTS))).join(heads, (F.col("file_name") == F.col("__file")) & (F.col("__spread") == F.col("__salt")), "left")
+    lost = F.col("__head_no").isNull() | F.col("line_no").isNull()
+    below = placed.where(lost | (F.col("line_no") > F.col("__head_no"))).withColumn("__at", F.when(~lost, F.col("__at")))
     carried = list(dict.fromkeys([*keep, "file_name", "line_no", "__at"]))
     rows = tokenized(below, "__text", "__is_tab", carried)
-    value = {n: F.try_element_at("__fields", F.get("__at", F.lit(i))) for i, n in enumerate(names)}
-    bad = F.lit(False)
-    for n, (_, kind) in columns.items():
-        bad |= ~valid(value[n], kind)
-    reason = F.when(F.col("__broken"), "quoting").when(F.size("__fields") != len(names), "column_count").when(bad, "invalid_value")
-    return rows.select(*[c for c in carried if c != "__at"], reason.alias("__reason"), F.struct(*[value[n].alias(columns[n][0]) for n in names]).alias("__values"))
+    at = {n: F.get("__at", F.lit(i)) for i, n in enumerate(names)}
+    value = {n: F.try_element_at("__fields", at[n]) for n in names}
+    wrong = F.least(*[F.when(~valid(value[n], kind), F.try_element_at("__starts", at[n])) for n, (_, kind) in columns.items()], F.lit(None).cast("int"))
+    count = F.size("__fields")
+    known, whole = F.col("__at").isNotNull(), ~F.col("__broken") & (count == len(names))
+    rows = rows.withColumn("__wrong", F.when(known & whole, wrong))
+    reason = F.when(~known, "no_header").when(F.col("__broken"), "quoting").when(count != len(names), "column_count").when(F.col("__wrong").isNotNull(), "invalid_value")
+    extra = F.try_element_at("__starts", F.lit(len(names) + 1))
+    offset = F.when(known, F.when(F.col("__broken") | (count < len(names)), F.col("__breaks")).when(count > len(names), extra).otherwise(F.col("__wrong")))
+    return rows.select(*[c for c in carried if c != "__at"], reason.alias("__reason"), offset.alias("__offset"), F.struct(*[value[n].alias(columns[n][0]) for n in names]).alias("__values"))
 
 
 def rejected(records: DataFrame, keep: list[str]) -> DataFrame:
-    return records.where(F.col("__reason").isNotNull()).select(*keep, F.col("__reason").alias("reason"))
+    """The records that cannot be read, with ``reason`` and ``offset``."""
+    return records.where(F.col("__reason").isNotNull()).select(*keep, F.col("__reason").alias("reason"), F.col("__offset").alias("offset"))
 
 
 def loaded(records: DataFrame, columns: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:

@@ -48,6 +48,11 @@ def p1_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that cannot be read, with the reason."""
+    return p3_rejected(spark, folder).select("line_id", "reason")
+
+
+def p3_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the byte of the line at which the reason holds."""
     return records.rejected(records.read_records(table(spark, folder, "hrrp_lines"), EXTRACT, ["line_id"]), ["line_id"])
 
 
@@ -84,7 +89,7 @@ def p6_history(spark: SparkSession, folder: str) -> DataFrame:
     return _history(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_steps, p1_table, p3_found, p3_loaded, p5_found, p6_found, p6_history)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_steps, p1_table, p3_found, p3_rejected, p3_loaded, p5_found, p6_found, p6_history)}
 
 
 def _no_value(c: str) -> str:
@@ -98,7 +103,59 @@ def _number(c: str) -> str:
 
 _ID = "case when length(regexp_replace(facility_id, '\\s', '', 'g')) < 6 then lpad(upper(regexp_replace(facility_id, '\\s', '', 'g')), 6, '0') else upper(regexp_replace(facility_id, '\\s', '', 'g')) end"
 
+_FIELD = '"(?:[^"]|"")*"|[^{d}"][^{d}]*|'
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160)"
+_NAMES = ", ".join(f"'{n}'" for n in sorted(EXTRACT))
+
+
+def _by_delimiter(sql: str) -> str:
+    """An expression with ``{d}``, the delimiter of a file, as a choice between tabs and commas."""
+    return f"case when tab then {sql.format(d=chr(92) + 't', c='chr(9)')} else {sql.format(d=',', c=chr(39) + ',' + chr(39))} end"
+
+
+def _valid(kind: str, v: str) -> str:
+    marked = f"{v} in ('', 'N/A', 'Not Available', 'Not Applicable', 'Too Few to Report', '.')"
+    match = lambda pattern: f"regexp_full_match({v}, '{pattern}')"
+    return {
+        "count": f"({match('[0-9]+|[0-9]{{1,3}}(?:,[0-9]{{3}})+'.replace('{{', '{').replace('}}', '}'))} or {marked})",
+        "decimal": f"({match('(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)%?')} or {marked})",
+        "codes": f"({v} = '' or {match('[0-9]+[A-Za-z]?(?:[ ' + chr(92) + 't]*,[ ' + chr(92) + 't]*[0-9]+[A-Za-z]?)*')} or {match('(?s)[0-9]+[A-Za-z]? - [^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r].*')})",
+        "date": f"({match('[0-9]{2}/[0-9]{2}/[0-9]{4}')} and try_strptime({v}, '%m/%d/%Y') is not null)",
+        "facility": match("[0-9A-Z]{6}"),
+        "text": "true",
+    }[kind]
+
+
+def _value(name: str) -> str:
+    return f"trim(coalesce(fields[list_position(names, '{name}')], ''), {_BLANKS})"
+
+
+#: Lines below their file's header, with their fields and the reason why they cannot be read.
+_RECORDS = f"""
+with raw as (select line_id, file_name, line_no, regexp_replace(coalesce(line, ''), '^' || chr(65279), '') as t, ends_with(lower(file_name), '.txt') as tab from hrrp_lines),
+split_ as (
+    select *, {_by_delimiter(f"not regexp_full_match(t, '(?s)(?:{_FIELD})(?:{{d}}(?:{_FIELD}))*')")} as broken,
+           list_transform({_by_delimiter(f"regexp_extract_all({{c}} || t, '(?s){{d}}({_FIELD})', 1)")}, lambda f: case when starts_with(f, '"') then replace(f[2:-2], '""', '"') else f end) as fields
+    from raw
+), heads as (
+    select file_name, arg_min(fields, line_no) as names, min(line_no) as head_no from (select file_name, line_no, list_transform(fields, lambda f: trim(f, {_BLANKS})) as fields from split_ where not broken)
+    where list_sort(fields) = [{_NAMES}] group by file_name
+), below as (select s.*, names from split_ s left join heads h using (file_name) where head_no is null or line_no is null or line_no > head_no),
+judged as (
+    select *, case when names is null or line_no is null then 'no_header' when broken then 'quoting' when len(fields) <> {len(EXTRACT)} then 'column_count'
+           when not ({' and '.join(_valid(kind, _value(n)) for n, (_, kind) in EXTRACT.items())}) then 'invalid_value' end as reason
+    from below
+)"""
+
+
+def _typed(kind: str, v: str) -> str:
+    known = f"case when {v} not in ('', 'N/A', 'Not Available', 'Not Applicable', 'Too Few to Report', '.') then "
+    return known + {"count": f"cast(replace({v}, ',', '') as bigint)", "decimal": f"cast(replace({v}, '%', '') as double)", "date": f"cast(strptime({v}, '%m/%d/%Y') as date)"}.get(kind, v) + " end"
+
+
 SQL = {
+    "p3_found": _RECORDS + " select line_id, reason from judged where reason is not null",
+    "p3_loaded": _RECORDS + f" select line_id, {', '.join(f'{_typed(kind, _value(n))} as {name}' for n, (name, kind) in EXTRACT.items())} from judged where reason is null",
     "p5_found": f"""
 with rows_ as (
     select source_release, {_ID} as facility_id, replace(regexp_extract(upper(measure_name), 'READM[-_]30[-_](.+)[-_]HRRP', 1), '-', '_') as condition, ingested_at,

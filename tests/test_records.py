@@ -37,9 +37,17 @@ def plain(line, delimiter):
 @given(st.lists(st.tuples(st.text(alphabet='a",\t\né', max_size=14), st.booleans()), max_size=12))
 def test_tokenizer_equals_plain_one(lines):
     texts, tabs = [t for t, _ in lines], np.array([b for _, b in lines], bool)
-    broken, fields = R.tokenize(pa.array(texts, pa.string()), tabs)
+    broken, fields, starts, breaks = R.tokenize(pa.array(texts, pa.string()), tabs)
     want = [plain(t, "\t" if b else ",") for t, b in lines]
     assert [None if b else f for b, f in zip(broken, fields.to_pylist())] == want
+    for text, tab, row, at, broke in zip(texts, tabs, want, starts.to_pylist(), breaks):
+        data, delimiter = text.encode(), "\t" if tab else ","
+        if row is None:
+            # What is before the place can be read, and what is up to it and one more cannot be put right.
+            assert at == [] and data[broke:] and (data[broke : broke + 1] == b'"' or plain(data[:broke].decode(), delimiter) is not None)
+        else:
+            assert broke == len(data) and len(at) == len(row) and at[0] == 0
+            assert [plain(data[a : b - 1].decode(), delimiter) for a, b in zip(at, [*at[1:], len(data) + 1])] == [[f] for f in row]
 
 
 @settings(max_examples=200, deadline=None)
@@ -81,7 +89,29 @@ def test_reasons(spark):
     order = list(reversed(range(12)))
     tab = ["\t".join(HEADER[i] for i in order), "\t".join(GOOD[i] for i in order), "\t".join(with_value("Start Date", "13/01/2021")[i] for i in order), ""]
     got = reasons(spark, {"a.csv": csv, "b.txt": tab, "none.csv": [quoted(GOOD)]})
-    assert got == {5: "column_count", 6: "quoting", 7: "quoting", 10: "invalid_value", 11: "column_count"}
+    assert got == {5: "column_count", 6: "quoting", 7: "quoting", 10: "invalid_value", 11: "column_count", 12: "no_header"}
+
+
+def test_offsets(spark):
+    """The byte at which a record fails, é having two."""
+    fields = with_value("Facility Name", "é")
+    lines = [
+        ",".join(HEADER), ",".join(with_value("Number of Discharges", "x")).replace("A Hospital", "é"), ",".join([*(f.replace(",", "") for f in fields), "more", "x"]), "a,b", 'a,"b', 'a,"é"x,"y', ",".join(f.replace(",", "") for f in fields),
+        ",".join(f.replace(",", "") for f in with_value("Facility ID", "")).replace("07/01/2020", "7"),
+    ]
+    found = R.rejected(R.read_records(frame(spark, {"a.csv": lines, "b.csv": ["x"]}), EXTRACT, ["line_id"]), ["line_id"])
+    good = ",".join(f.replace(",", "") for f in fields).encode()
+    assert {r["line_id"]: (r["reason"], r["offset"]) for r in found.collect()} == {
+        2: ("invalid_value", lines[1].encode().index(b",x,") + 1), 3: ("column_count", len(good) + 1), 4: ("column_count", 3), 5: ("quoting", 2), 6: ("quoting", 6), 8: ("invalid_value", 0), 9: ("no_header", None),
+    }
+
+
+def test_no_line_is_lost(spark):
+    """A file without a header, and lines without a file or a number, are rejected, not dropped."""
+    files = {"a.csv": [quoted(HEADER), quoted(GOOD)], "b.csv": [quoted(GOOD), "x,y"]}
+    for limit in (R.BROADCAST_FILES, 0):
+        records = R.read_records(frame(spark, files), EXTRACT, ["line_id"])
+        assert {r["line_id"]: r["__reason"] for r in records.collect()} == {2: None, 3: "no_header", 4: "no_header"}, limit
 
 
 def test_invalid_values(spark):
@@ -109,7 +139,7 @@ def test_nulls_empty_long_and_repeated(spark):
     rows = [(1, "a.csv", 1, quoted(HEADER)), (2, "a.csv", 2, None), (3, "a.csv", 3, long), (3, "a.csv", 3, long), (4, None, 4, "x"), (5, "a.csv", None, "x"), (None, "a.csv", 6, "x")]
     df = spark.createDataFrame(rows, schema)
     out = R.read_records(df, EXTRACT, ["line_id"])
-    assert sorted((r["line_id"] or 0, r["__reason"]) for r in out.where("__reason is not null").collect()) == [(0, "column_count"), (2, "column_count")]
+    assert sorted((r["line_id"] or 0, r["__reason"]) for r in out.where("__reason is not null").collect()) == [(0, "column_count"), (2, "column_count"), (4, "no_header"), (5, "no_header")]
     assert out.where("__reason is null").count() == 2
     assert R.read_records(df.limit(0), EXTRACT, ["line_id"]).count() == 0
 
