@@ -64,9 +64,11 @@ SLOPE = 20
 LEAST_WORDS, LEAST_OPEN = 3, 5
 
 _NOISE = re.compile(r"<[^<>\n]{1,24}>|&(?:amp;)?#?\w{1,8};|\bnbsp;|\[[A-Z]{2,6}\]|(.)\1{4,}|Ã[ƒ\x80-\xbf]\S{0,3}|Â[\x80-\xbf]")
-_OTHER = re.compile(r"[^¿¡a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]+")
+_LETTER = re.compile(r"[¿¡a-zß-öø-ÿāăąćčďđęěğėīłńňōőœřśşšťūůűźżžа-яёіїєґ一-鿿]")
+_END = re.compile(r"[.!?…。！？][\"'”»)\s]*$")
+_MARK = re.compile(r"[.!?…。！？]")
 _LINE = re.compile(r"[^\r\n  ]+")
-_STOP = re.compile(r"(?<![Ss]t\.)(?<!ST\.)(?<=[.!?…])[\"'”»)]*\s+|(?<=[。！？])|\s/\s+")
+_STOP = re.compile(r"(?:(?<![Ss]t)(?<!ST)\.|[!?…])[\"'”»)]*\s+|[。！？]|\s/\s+")
 _CODE = re.compile(r"[=<>{};]|\w\(|[a-z]_[a-z]", re.I)
 _CLAUSE = re.compile(r"^\s*(?:select|from|where|(?:group|order) by)\b[\w\s,.]{0,40}$", re.I)
 _FIELD = re.compile(r"^\s*[^\W\d]+(?: [^\W\d]+){0,2}\s?: (?:\S+\s?){1,9}$")
@@ -74,6 +76,17 @@ _HAN = re.compile(r"[一-鿿]")
 _INSERT = re.compile(r" +\t[\t ]*|\t+ [\t ]*")
 
 
+class _Letters(dict):
+    """Letters as they are and blanks for all other signs, for ``str.translate``; signs are looked up once."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if _LETTER.match(chr(code)) else 32
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
 def canonical_label(label: Column) -> Column:
     """The language's code for any form of its name or code, null for none; names of other languages stay as they are."""
     text = F.lower(F.trim(F.regexp_replace(label, r"[\s ]+", " ")))
@@ -109,7 +122,7 @@ def stretches(text: str) -> list[tuple[int, int, str, bool]]:
         if bare.startswith("```"):
             fenced = not fenced
             continue
-        stopped = bool(re.search(r"[.!?…。！？][\"'”»)\s]*$", bare))
+        stopped = bool(_END.search(bare[-12:]))
         clean = _NOISE.sub(lambda m: " " * len(m.group()), raw)
         if fenced or is_row(raw) or bare.startswith("#"):
             continue
@@ -118,9 +131,9 @@ def stretches(text: str) -> list[tuple[int, int, str, bool]]:
         at = 0
         for end in [*(m.end() for m in _STOP.finditer(clean)), len(clean)]:
             part = clean[at:end]
-            letters = _OTHER.sub(" ", part.lower()).strip()
+            letters = " ".join(part.lower().translate(_LETTERS).split())
             if letters:
-                out.append((line.start() + at, line.start() + end, letters, bool(re.search(r"[.!?…。！？]", part[-6:]))))
+                out.append((line.start() + at, line.start() + end, letters, bool(_MARK.search(part[-6:]))))
             at = end
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.ranking import positions
+from lodestack.session import cut
 
 
 def quantile_state(df: DataFrame, groups: list[str], value: str, resolution: float | None = None) -> DataFrame:
@@ -21,7 +22,7 @@ def quantile_state(df: DataFrame, groups: list[str], value: str, resolution: flo
 
 
 def merge_states(*states: DataFrame) -> DataFrame:
-    """One state for all; the order does not matter."""
+    """One state for all, of separate tables or of one in which states lie under one another; the order does not matter."""
     whole = states[0]
     for state in states[1:]:
         whole = whole.unionByName(state)
@@ -38,6 +39,7 @@ def quantiles(state: DataFrame, groups: list[str], value: str, probabilities: li
     times. Null groups are groups; a group without values has no rows; a single value is every percentile.
     """
     keys = [f"__g{i}" for i in range(len(groups))]
+    state = cut(state)
     rows = state.select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).cast("double").alias("__v"), F.col("n").alias("__n"))
     placed = positions(rows, keys, ["__v"], weight="__n")
     totals = rows.groupBy(*keys).agg(F.sum("__n").alias("__total")).select(*[F.col(k).alias(f"__t{k}") for k in keys], "__total")
@@ -62,7 +64,7 @@ def peer_ratios(facts: DataFrame, adjustments: DataFrame) -> DataFrame:
 
     The hospital's last ingested row of a fiscal year gives its group; rows without a group or ratio are left out.
     """
-    paid = facts.where(F.col("in_payment_file") & F.col("excess_readmission_ratio").isNotNull()).dropDuplicates()
+    paid = facts.where(F.col("in_payment_file") & F.col("excess_readmission_ratio").isNotNull()).distinct()
     paid = paid.select("fiscal_year", "condition", "facility_id", "excess_readmission_ratio", "peer_group_median_err")
     keys = ["facility_id", "fiscal_year"]
     last = adjustments.where(F.col("facility_id").isNotNull()).groupBy(*keys).agg(F.max(F.struct("ingested_at", "peer_group")).alias("__last"))

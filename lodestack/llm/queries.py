@@ -45,12 +45,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of the ratio per fiscal year, condition and peer group, from one state per fiscal year put together."""
-    ratios = cut(_ratios(spark, folder))
-    value = "excess_readmission_ratio"
-    late = F.col("fiscal_year") >= "FY2023"
-    parts = [quantiles.quantile_state(ratios.where(late if i else ~late), quantiles.PEERS, value) for i in (0, 1)]
-    out = quantiles.quantiles(quantiles.merge_states(*parts), quantiles.PEERS, value, PROBABILITIES)
+    """Percentiles of the ratio per fiscal year, condition and peer group, from the states of all states' hospitals (the first two signs of their
+    number) put together."""
+    value, part = "excess_readmission_ratio", F.substring("facility_id", 1, 2).alias("__part")
+    states = quantiles.quantile_state(_ratios(spark, folder).select(*quantiles.PEERS, part, value), ["__part", *quantiles.PEERS], value)
+    out = quantiles.quantiles(quantiles.merge_states(states.drop("__part")), quantiles.PEERS, value, PROBABILITIES)
     return out.withColumn("quantile", F.round("quantile", 6))
 
 

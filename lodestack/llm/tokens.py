@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,13 +88,15 @@ def _blocks(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(``word``, ``n``) with ``ids``."""
+    """(``word``, ``n``) with ``ids``. The vocabulary is read once, here, and goes to the tasks as it is: a few MB, whatever the corpus."""
+    with open(path, encoding="utf-8") as file:
+        shared = words.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_str(shared.value)
         tokenizer.encode_special_tokens = True
         for batch in batches:
             found = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
@@ -158,9 +161,30 @@ def token_bytes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode_corpus(encoded: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """(key, ``text``): ids joined with the tokens' bytes and put together by position. No ids: an empty text.
-    ``table`` is as large as the vocabulary, so it goes to every task. Keys must be unique."""
-    ids = encoded.select(key, F.posexplode_outer("ids").alias("__at", "__id"))
-    parts = ids.join(F.broadcast(table), F.col("__id") == F.col("id"), "left")
-    texts = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("__id").isNotNull(), F.struct("__at", "hex")))).alias("__p"))
-    return texts.select(key, F.decode(F.unhex(F.array_join(F.transform("__p", lambda p: p["hex"]), "")), "UTF-8").alias("text"))
+    """(key, ``text``) of every row: its ids joined with the tokens' bytes in order. No ids, or none at all: an empty text.
+
+    ``table`` has a row per token of the vocabulary, so it goes to every task, and ids are joined with it within their row: nothing is
+    shuffled, and repeated and null keys stay rows of their own. An id that the vocabulary lacks is left out; bytes that are no UTF-8
+    become the replacement character.
+    """
+    known = {r["id"]: bytes.fromhex(r["hex"]) for r in table.collect()}
+    shared = encoded.sparkSession.sparkContext.broadcast([known.get(i, b"") for i in range(max(known, default=-1) + 1)])
+    schema = f"`{key}` {encoded.select(key).schema[0].dataType.simpleString()}, text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = shared.value
+        tokens = pa.array(parts, pa.large_binary())
+        for batch in batches:
+            ids = batch.column("ids")
+            flat = ids.flatten()
+            there = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(parts)))
+            found = tokens.take(pc.if_else(there, flat, None))
+            lengths = pc.fill_null(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            data = b"".join(x for x in found.to_pylist() if x)
+            first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            at = ends[first].tolist()
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(texts, pa.string())], names=[key, "text"])
+
+    return encoded.select(key, "ids").mapInArrow(run, schema)

@@ -58,3 +58,12 @@ def test_repeated_and_null_keys_and_small_blocks(spark, tokenizer, monkeypatch):
     assert got == [("None", "z"), ("a", "x y"), ("a", "x y"), ("b", ""), ("c", "")]
     assert K.encode_corpus(df.limit(0), "k", "text", PATH).count() == 0
     assert K.encode_corpus(df.where("text is null"), "k", "text", PATH).first()["ids"] == []
+
+
+def test_decoding_keeps_rows(spark):
+    """Repeated and null keys, empty and null ids, and ids that the vocabulary lacks."""
+    table = spark.createDataFrame([(0, b"a".hex()), (1, "é".encode()[:1].hex()), (2, "é".encode()[1:].hex())], "id int, hex string")
+    encoded = spark.createDataFrame([(1, [0, 1, 2]), (1, [0]), (None, [0, 0]), (2, []), (3, None), (4, [0, 99, -1, 0]), (5, [1])], "k int, ids array<int>")
+    got = sorted(((r["k"], r["text"]) for r in K.decode_corpus(encoded, "k", table).collect()), key=str)
+    assert got == sorted([(1, "aé"), (1, "a"), (None, "aa"), (2, ""), (3, ""), (4, "aa"), (5, "\ufffd")], key=str)
+    assert K.decode_corpus(encoded.limit(0), "k", table).count() == 0
