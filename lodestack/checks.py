@@ -136,16 +136,36 @@ class Outcome:
         return self.failures == 0
 
 
+def failure_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(``check``, ``failures``) of rules on single rows, given as what is wrong with a row: all counted in one pass over the table."""
+    counts = df.agg(*[F.count_if(bad).alias(f"__{i}") for i, bad in enumerate(rules.values())])
+    cells = F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"__{i}").alias("failures")) for i, name in enumerate(rules)])
+    return counts.select(F.explode(cells).alias("__c")).select("__c.*")
+
+
 @dataclass
 class Suite:
     checks: list[Check] = field(default_factory=list)
+    rows: list[tuple[DataFrame, dict[str, tuple[Column, str]]]] = field(default_factory=list)
 
     def add(self, name: str, failing: DataFrame, severity: str = "error", where: Column | None = None) -> None:
         self.checks.append(Check(name, failing if where is None else failing.where(where), severity, where))
 
+    def add_rows(self, df: DataFrame, rules: Mapping[str, tuple[Column, str]]) -> None:
+        """Rules on single rows of one table by name: what is wrong, and the severity."""
+        if rules:
+            self.rows.append((df, dict(rules)))
+
     def run(self, audit: str | None = None) -> list[Outcome]:
-        """Counts the failures of every check; with a folder, writes the failing rows of each under its name."""
+        """Counts the failures of every check; with a folder, writes the failing rows of each under its name. Rules on single rows are
+        counted in one pass per table, and only of those that fail are rows written."""
         out = []
+        for df, rules in self.rows:
+            counts = {r["check"]: r["failures"] for r in failure_counts(df, {n: bad for n, (bad, _) in rules.items()}).collect()}
+            for name, (bad, severity) in rules.items():
+                if audit is not None and counts[name]:
+                    df.where(bad).write.mode("overwrite").parquet(f"{audit}/{name}")
+                out.append(Outcome(name, severity, counts[name]))
         for check in self.checks:
             if audit is None:
                 failures = check.failing.count()

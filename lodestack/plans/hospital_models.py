@@ -7,6 +7,7 @@ type and recode one source each; intermediate ones reshape and join; marts are f
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -679,27 +680,37 @@ RULES: dict[str, dict] = {
 }
 
 
-def declared_checks(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
-    """The rules of a table by name: the rows that break each, and its severity. A rule on another table counts where that is built."""
-    df, own = t[table], RULES.get(table, {})
-    made: dict[str, tuple[str, DataFrame]] = {}
-    if "key" in own:
-        made["key"] = ("key", checks.unique(df, *own["key"]))
+def _severity(table: str, name: str, column: str) -> str:
+    warn = RULES[table].get("warn", ())
+    return "warn" if column in warn or name in warn else "error"
+
+
+def row_rules(table: str) -> dict[str, tuple[Column, str]]:
+    """The rules on single rows of a table: what is wrong with a row, and the severity."""
+    own, made = RULES.get(table, {}), {}
     for x in own.get("not_null", ()):
-        made[f"{x}_not_null"] = (x, checks.not_null(df, x))
+        made[f"{x}_not_null"] = (x, F.col(x).isNull())
     for x, pattern in own.get("form", {}).items():
-        made[f"{x}_form"] = (x, checks.full_match(df, x, pattern))
+        made[f"{x}_form"] = (x, ~F.col(x).rlike(f"^(?:{pattern})$"))
     for x, values in own.get("accepted", {}).items():
-        made[f"{x}_accepted"] = (x, checks.accepted_values(df, x, values))
+        made[f"{x}_accepted"] = (x, ~F.col(x).isin(*values))
     for x, (low, high) in own.get("ranges", {}).items():
-        made[f"{x}_range"] = (x, checks.accepted_range(df, x, low, high))
+        outside = [F.col(x) < low] * (low is not None) + [F.col(x) > high] * (high is not None)
+        made[f"{x}_range"] = (x, reduce(lambda a, b: a | b, outside))
+    for name, rule in own.get("rules", {}).items():
+        made[name] = (name, ~F.expr(rule))
+    return {f"{table}.{name}": (bad, _severity(table, name, x)) for name, (x, bad) in made.items()}
+
+
+def table_rules(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
+    """The rules on keys and parents: the rows that break each, and the severity. A rule on another table counts where that is built."""
+    df, own, made = t[table], RULES.get(table, {}), {}
+    if "key" in own:
+        made["key"] = ("key", checks.unique(df, *own["key"]))
     for x, (parent, column) in own.get("parents", {}).items():
         if parent in t:
             made[f"{x}_parent"] = (x, checks.relationship(df, x, t[parent], column))
-    for name, rule in own.get("rules", {}).items():
-        made[name] = (name, checks.expression_is_true(df, F.expr(rule)))
-    warn = own.get("warn", ())
-    return {f"{table}.{name}": (failing, "warn" if x in warn or name in warn else "error") for name, (x, failing) in made.items()}
+    return {f"{table}.{name}": (failing, _severity(table, name, x)) for name, (x, failing) in made.items()}
 
 
 def survey_after_period(years: DataFrame) -> DataFrame:
@@ -775,13 +786,10 @@ def singular_checks(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
     return {f"{table}.{name}": check for name, check in made.items()}
 
 
-def checks_of(table: str, t: Tables) -> dict[str, tuple[DataFrame, str]]:
-    return declared_checks(table, t) | singular_checks(table, t)
-
-
 def _checked(table: str) -> None:
     def rule(s: checks.Suite, t: Tables) -> None:
-        for name, (failing, severity) in checks_of(table, t).items():
+        s.add_rows(t[table], row_rules(table))
+        for name, (failing, severity) in (table_rules(table, t) | singular_checks(table, t)).items():
             s.add(name, failing, severity)
 
     HOSPITAL.check(table)(rule)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from functools import partial
+from collections.abc import Callable, Sequence
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack import checks
+from lodestack.plans import hospital_models as H
+from lodestack.plans.hospital_metrics import hospital_layer
 from lodestack.plans.hospital_models import CHRONIC, HOSPITAL, RETIRED_TOPICS, SOCIAL, TOPICS
 from lodestack.queries import releases
 from lodestack.session import cut
@@ -17,19 +20,19 @@ from lodestack.session import cut
 SUMS = ("unadjusted_penalty",)
 
 
-def built(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """One table as a plan; what more than one table needs is computed once."""
+def built(spark: SparkSession, d: str, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Tables as plans, with what they need; what more than one table needs is computed once."""
     tables = dict(releases.sources(spark, d))
-    order = HOSPITAL.order([name])
-    needs = [n for x in order for n in HOSPITAL.nodes[x].needs]
+    order = HOSPITAL.order(list(names))
+    needs = [n for x in order for n in HOSPITAL.nodes[x].needs] + list(names) * (len(names) > 1)
     for x in order:
         made = HOSPITAL.nodes[x].build(tables)
-        tables[x] = cut(made) if x != name and needs.count(x) > 1 else made
-    return tables[name]
+        tables[x] = cut(made) if needs.count(x) > (x in names) else made
+    return tables
 
 
 def model(spark: SparkSession, d: str, name: str) -> DataFrame:
-    df = built(spark, d, name)
+    df = built(spark, d, [name])[name]
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c in SUMS})
 
 
@@ -132,7 +135,7 @@ def with_tables(select: str) -> str:
 
 def _built(sql: str) -> str:
     for name in TAKEN:
-        sql = re.sub(rf"\b{name}\b", f"{name}_", sql)
+        sql = re.sub(rf"(?<!')\b{name}\b", f"{name}_", sql)
     return sql
 
 
@@ -142,3 +145,133 @@ def _select(name: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"model_{n}": partial(model, name=n) for n in HOSPITAL.nodes}
 SQL = {f"model_{n}": with_tables(_select(n)) for n in HOSPITAL.nodes}
+
+
+# Checks
+
+
+def _failures(spark: SparkSession, d: str, names: Sequence[str]) -> DataFrame:
+    """(``check``, ``failures``) of all declared rules of some tables, rules on single rows in one pass a table."""
+    t = built(spark, d, names)
+    parts = []
+    for name in names:
+        rules = H.row_rules(name)
+        parts.append(checks.failure_counts(t[name], {n: bad for n, (bad, _) in rules.items()}))
+        parts.append(checks.summary(spark, {n: failing for n, (failing, _) in H.table_rules(name, t).items()}) if H.table_rules(name, t) else None)
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+
+
+def _failures_sql(names: Sequence[str]) -> str:
+    parts = []
+    for name in names:
+        own, bad = H.RULES[name], {}
+        bad |= {f"{x}_not_null": f"{x} is null" for x in own.get("not_null", ())}
+        bad |= {f"{x}_form": f"not regexp_full_match({x}, '{p}')" for x, p in own.get("form", {}).items()}
+        bad |= {f"{x}_accepted": f"{x} not in ({', '.join(repr(v) for v in values)})" for x, values in own.get("accepted", {}).items()}
+        bad |= {f"{x}_range": " or ".join([f"{x} < {low}"] * (low is not None) + [f"{x} > {high}"] * (high is not None)) for x, (low, high) in own.get("ranges", {}).items()}
+        bad |= {n: f"not ({rule})" for n, rule in own.get("rules", {}).items()}
+        counts = ", ".join(f"count(*) filter (where {b})" for b in bad.values())
+        labels = ", ".join(f"'{name}.{n}'" for n in bad)
+        parts.append(f"select unnest([{labels}]) as \"check\", unnest([{counts}]) as failures from {name}")
+        if "key" in own:
+            known = f"where {own['key'][0]} is not null" if len(own["key"]) == 1 else ""
+            parts.append(f"select '{name}.key', count(*) from (select 1 from {name} {known} group by {', '.join(own['key'])} having count(*) > 1)")
+        for x, (parent, column) in own.get("parents", {}).items():
+            if parent in names or parent in _needed(name):
+                parts.append(f"select '{name}.{x}_parent', count(*) from {name} where {x} is not null and {x} not in (select {column} from {parent} where {column} is not null)")
+    return with_tables(" union all ".join(parts))
+
+
+def _needed(name: str) -> set[str]:
+    return set(HOSPITAL.order([name]))
+
+
+STAGING = [n for n, node in HOSPITAL.nodes.items() if node.layer in ("staging", "intermediate")]
+MARTS = ["dim_county", "dim_hospital", "dim_fiscal_year", "fct_readmissions", "fct_hospital_year", "ml_penalty_features", "time_spine"]
+
+
+def checks_staging(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of every rule of the staging and intermediate tables."""
+    return _failures(spark, d, STAGING)
+
+
+def checks_marts(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of every rule of facts, dimensions and features."""
+    return _failures(spark, d, MARTS)
+
+
+def checks_singular(spark: SparkSession, d: str) -> DataFrame:
+    """Failures of the checks that look at several columns or tables, leakage guards among them."""
+    t = built(spark, d, [*MARTS, "stg_results"])
+    return checks.summary(spark, {n: failing for name in [*_needed("ml_penalty_features"), "stg_results_history"] if name in t for n, (failing, _) in H.singular_checks(name, t).items()})
+
+
+_CONDITION_LIST = ", ".join(f"('{c}')" for c in H.CONDITIONS)
+_PRIOR = "select f.facility_id, f.fiscal_year from ml_penalty_features f join dim_fiscal_year y using (fiscal_year) left join (select 'FY' || (cast(substr(fiscal_year, 3) as int) + {by}) as fiscal_year, readmission_period_end as prior_end from dim_fiscal_year) p on p.fiscal_year = f.fiscal_year where (f.prior_payment_reduction_pct is not null or f.prior_weighted_err is not null) and (prior_end is null or prior_end >= y.readmission_period_start)"
+_SINGULAR = {
+    "stg_results_history.one_period_per_release": "select source_release from stg_results_history group by all having count(distinct (period_start, period_end)) > 1",
+    "stg_results_history.history_ends_as_live": """(select facility_id, condition, excess_readmission_ratio, discharges from stg_results except select facility_id, condition, excess_readmission_ratio, discharges from stg_results_history where period_start = (select max(period_start) from stg_results_history))
+union all (select facility_id, condition, excess_readmission_ratio, discharges from stg_results_history where period_start = (select max(period_start) from stg_results_history) except select facility_id, condition, excess_readmission_ratio, discharges from stg_results)""",
+    "stg_peer_comparisons.conditions_per_year": f"select y.fiscal_year, c from (select distinct fiscal_year from stg_peer_comparisons) y, (values {_CONDITION_LIST}) v(c) where (y.fiscal_year, c) not in (select (fiscal_year, condition) from stg_peer_comparisons) and not (y.fiscal_year = 'FY2023' and c = 'PN')",
+    "dim_county.pivot_keeps_values": "select 1 from stg_county_health h join dim_county d using (county_fips) where value_type = 'AgeAdjPrv' and value_pct is not null and value_pct is distinct from case measure_id " + " ".join(f"when '{k}' then d.{v}_pct" for k, v in _HEALTH.items()) + " end",
+    "dim_hospital.covers_sources": "select facility_id from (select facility_id from stg_results union select facility_id from stg_results_history union select facility_id from stg_payment_adjustments union select facility_id from int_profile) where facility_id not in (select facility_id from dim_hospital)",
+    "dim_hospital.golden_counties": f"select k from (values {', '.join(f'({k!r}, {v!r})' for k, v in H.GOLDEN_COUNTIES.items())}) g(k, want) left join dim_hospital d on d.facility_id = k where d.county_fips is distinct from want",
+    "dim_hospital.counties_linked": f"select 1 from dim_hospital where has_hospital_profile having count(county_fips) < {H.LEAST_LINKED} * count(*)",
+    "dim_fiscal_year.no_survey_after_period": "select 1 from dim_fiscal_year where survey_period_end > readmission_period_end",
+    "fct_readmissions.covers_sources": "select 1 from (select facility_id, condition, 'FY' || (year(period_start) + 5) as fiscal_year from stg_results_history union all select facility_id, condition, fiscal_year from stg_peer_comparisons) s where (facility_id, condition, fiscal_year) not in (select (facility_id, condition, fiscal_year) from fct_readmissions)",
+    "fct_hospital_year.penalty_recomputes": "select 1 from fct_hospital_year where in_payment_file and abs(payment_reduction_pct - least(unadjusted_penalty * neutrality_modifier * 100, 3.0)) > 0.01",
+    "fct_hospital_year.surveys_cover_year": f"select fiscal_year from fct_hospital_year where in_payment_file and survey_period_end is not null group by all having avg(cast(has_survey_scores as int)) < {H.LEAST_SURVEYED}",
+    "ml_penalty_features.no_shared_patients": "select 1 from ml_penalty_features join dim_fiscal_year using (fiscal_year) where split = 'train' and readmission_period_end >= (select min(readmission_period_start) from ml_penalty_features join dim_fiscal_year using (fiscal_year) where split = 'test')",
+    "ml_penalty_features.prior_before_target": _PRIOR.format(by=H.PRIOR_YEARS),
+    "ml_penalty_features.covers_payments": "select 1 from stg_payment_adjustments where (facility_id, fiscal_year) not in (select (facility_id, fiscal_year) from ml_penalty_features)",
+}
+
+
+def _counted(failing: dict[str, str]) -> str:
+    return with_tables(" union all ".join(f"select '{n}' as \"check\", count(*) as failures from ({sql})" for n, sql in failing.items()))
+
+
+def dq_guards(spark: SparkSession, d: str) -> DataFrame:
+    """The leakage guards on tables that break them: surveys that end a year later, years with shared patients trained on, and earlier
+    results of only a year before."""
+    t = built(spark, d, ["ml_penalty_features", "dim_fiscal_year"])
+    years, features = t["dim_fiscal_year"], t["ml_penalty_features"]
+    late = years.withColumn("survey_period_end", F.date_add("survey_period_end", 365))
+    mixed = features.withColumn("split", F.when(F.col("split") == "overlap_unused", "train").otherwise(F.col("split")))
+    parts = {"survey_after_period": H.survey_after_period(late).select("fiscal_year"), "shared_patients": H.shared_patients(mixed, years).select("fiscal_year"), "prior_after_target": H.prior_after_target(features, years, 1).select("fiscal_year")}
+    rows = reduce(DataFrame.unionByName, [df.withColumn("guard", F.lit(n)) for n, df in parts.items()])
+    return rows.groupBy("guard", "fiscal_year").agg(F.count(F.lit(1)).alias("failures"))
+
+
+_GUARDS = f"""select guard, fiscal_year, count(*) as failures from (select 'survey_after_period' as guard, fiscal_year from dim_fiscal_year where survey_period_end + 365 > readmission_period_end
+union all select 'shared_patients', f.fiscal_year from ml_penalty_features f join dim_fiscal_year y using (fiscal_year) where split in ('train', 'overlap_unused') and y.readmission_period_end >= (select min(readmission_period_start) from ml_penalty_features join dim_fiscal_year using (fiscal_year) where split = 'test')
+union all select 'prior_after_target', fiscal_year from ({_PRIOR.format(by=1)})) group by all"""
+
+# Metrics over the built tables
+
+
+def metric_star_years(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of hospital years by fiscal year, survey scores among them."""
+    names = ["hospitals_in_payment_file", "penalized_hospitals", "share_penalized", "max_payment_reduction_pct", *(f"avg_{x}_score" for x in ("recommend", "overall_rating", "care_transition", "discharge_information"))]
+    t = built(spark, d, ["fct_hospital_year", "dim_fiscal_year", "dim_hospital", "dim_county", "fct_readmissions"])
+    out = hospital_layer(t.__getitem__).query(names, ["fiscal_year"])
+    return out.withColumns({c: F.round(c, 6) for c in names if c.startswith(("share", "avg"))})
+
+
+def metric_star_states(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of two facts by a dimension two joins away."""
+    t = built(spark, d, ["fct_hospital_year", "dim_fiscal_year", "dim_hospital", "dim_county", "fct_readmissions"])
+    out = hospital_layer(t.__getitem__).query(["share_penalized", "scored_results", "eligible_discharges"], ["hospital__county__state_name"])
+    return out.withColumn("share_penalized", F.round("share_penalized", 6))
+
+
+_SCORES = ", ".join(f"round(avg({x}_score), 6) as avg_{x}_score" for x in ("recommend", "overall_rating", "care_transition", "discharge_information"))
+_SHARE = "round(cast(sum(case when is_penalized then 1 else 0 end) as double) / nullif(sum(case when in_payment_file then 1 else 0 end), 0), 6) as share_penalized"
+_STAR_YEARS = f"""select fiscal_year, cast(sum(case when in_payment_file then 1 else 0 end) as bigint) as hospitals_in_payment_file, cast(sum(case when is_penalized then 1 else 0 end) as bigint) as penalized_hospitals, {_SHARE},
+max(payment_reduction_pct) as max_payment_reduction_pct, {_SCORES} from fct_hospital_year group by all"""
+_STATE = "left join dim_hospital d on d.facility_id = f.facility_id left join dim_county c on c.county_fips = d.county_fips group by all"
+_STAR_STATES = f"""select coalesce(a.s, b.s) as hospital__county__state_name, share_penalized, scored_results, eligible_discharges from (select c.state_name as s, {_SHARE} from fct_hospital_year f {_STATE}) a
+full join (select c.state_name as s, count(excess_readmission_ratio) as scored_results, cast(sum(eligible_discharges) as bigint) as eligible_discharges from fct_readmissions f {_STATE}) b on a.s is not distinct from b.s"""
+
+QUERIES |= {f.__name__: f for f in (metric_star_years, metric_star_states, checks_staging, checks_marts, checks_singular, dq_guards)}
+SQL |= {"metric_star_years": with_tables(_STAR_YEARS), "metric_star_states": with_tables(_STAR_STATES), "checks_staging": _failures_sql(STAGING), "checks_marts": _failures_sql(MARTS), "checks_singular": _counted(_SINGULAR), "dq_guards": with_tables(_GUARDS)}

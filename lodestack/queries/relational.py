@@ -453,10 +453,10 @@ def dq_row_counts(spark, d):
 
 
 @query("""select facility_id, fiscal_year, condition, round(penalty_contribution, 6) as published, round(drg_payment_ratio * (payment_excess_readmission_ratio - peer_group_median_err), 6) as computed
-from (select distinct * from fct_readmissions) where counts_toward_penalty and abs(penalty_contribution - drg_payment_ratio * (payment_excess_readmission_ratio - peer_group_median_err)) > 0.001""")
+from (select distinct * from fct_readmissions) where in_payment_file and abs(penalty_contribution - drg_payment_ratio * (payment_excess_readmission_ratio - peer_group_median_err)) > 0.001""")
 def dq_recompute(spark, d):
     computed = F.col("drg_payment_ratio") * (F.col("payment_excess_readmission_ratio") - F.col("peer_group_median_err"))
-    bad = checks.recomputes(Q.facts(spark, d).where("counts_toward_penalty"), F.col("penalty_contribution"), computed, 0.001)
+    bad = checks.recomputes(Q.facts(spark, d).where("in_payment_file"), F.col("penalty_contribution"), computed, 0.001)
     return bad.select("facility_id", "fiscal_year", "condition", F.round("penalty_contribution", 6).alias("published"), F.round(computed, 6).alias("computed"))
 
 
