@@ -51,7 +51,7 @@ WINDOW, STEP, SENTENCE = 8, 4, 40
 
 #: Where languages meet without a stop, a change costs so much of the words' evidence; a part must have so much more of it than
 #: its neighbours' languages have there, and be so sure or have very much more, to count.
-CHANGE, GAIN, ALONE, CLEAR = 2.0, 4.5, 0.85, 8.0
+CHANGE, GAIN, ALONE, CLEAR = 1.2, 2.5, 0.85, 5.0
 
 #: A stretch is rejected below this part of the score that all but 2 % of its language's training sentences reach, or
 #: if the next language comes closer than MARGIN.
@@ -230,7 +230,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     floors: np.ndarray
-    lengths: np.ndarray
+    own: np.ndarray
     seen: dict[str, tuple[int, float]] = field(default_factory=dict)
     words: dict[str, np.ndarray] = field(default_factory=dict)
     places: dict[str, list[tuple[int, int]]] = field(default_factory=dict)
@@ -244,15 +244,16 @@ class Model:
             parts.append((row + np.int32(at), feature, weight / np.maximum(norm[row], np.float32(1e-9))))
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.float32))
 
-    def nearness(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
-        """Of each row with each centroid."""
-        out = np.zeros((rows, self.centroids.shape[1]), np.float32)
+    def nearness(self, row: np.ndarray, feature: np.ndarray, weight: np.ndarray, rows: int, to: np.ndarray | None = None) -> np.ndarray:
+        """Of each row with each centroid, or with each column of ``to``."""
+        to = self.centroids if to is None else to
+        out = np.zeros((rows, to.shape[1]), np.float32)
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, int)
         step = 128  # so that a part stays in the processor's cache
         for a in range(0, len(first), step):
             some = first[a : a + step]
             begin, end = some[0], first[a + step] if a + step < len(first) else len(row)
-            out[row[some]] = np.add.reduceat(self.centroids[feature[begin:end]] * weight[begin:end, None], some - begin, axis=0)
+            out[row[some]] = np.add.reduceat(to[feature[begin:end]] * weight[begin:end, None], some - begin, axis=0)
         return out
 
     def scores(self, rows: list[str]) -> np.ndarray:
@@ -279,15 +280,14 @@ class Model:
 
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """What each word by itself says for each language, by what the languages have of their own. No n-gram reaches over words, so a text's n-grams are its words'."""
+        """What each word by itself says for each language, by what the language as a whole has of its own. No n-gram reaches over words, so a text's n-grams are its words'."""
         new = [w for w in dict.fromkeys(words) if w not in self.words]
         if len(self.words) + len(new) > MOST_KEPT:
             self.words.clear()
             new = list(dict.fromkeys(words))
         for at, some in slices(new):
             row, feature, count = grams(some)
-            near = self.nearness(row, feature, (self.idf[feature] * count).astype(np.float32), len(some))
-            self.words.update(zip(some, (near * self.lengths).reshape(len(some), len(LANGUAGES), -1).max(axis=2)))
+            self.words.update(zip(some, self.nearness(row, feature, (self.idf[feature] * count).astype(np.float32), len(some), self.own)))
         return np.array([self.words[w] for w in words], np.float32)
 
     def paths(self, rows: list[list[str]]) -> list[np.ndarray]:
@@ -411,7 +411,8 @@ def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
 
     Document frequencies come from all texts; sentences from at most ``TRAINING_TEXTS`` texts a label. A sentence starts with its
     text's label, and twice goes to the nearest language, by which wrong labels and mixed texts drop out.
-    Then the sentences of each language are clustered into ``CENTROIDS`` groups. Sentences take part with and
+    Then the sentences of each language are clustered into ``CENTROIDS`` groups; what a language as a whole has of its own, which does
+    not depend on how its clusters fall, weighs words where languages meet. Sentences take part with and
     without accents. The mean of all centroids is taken off, so what languages share (names, figures) does not count.
     """
     frequency, texts = document_frequencies(df, text)
@@ -424,19 +425,21 @@ def fit(df: DataFrame, key: str, text: str, label: str) -> Model:
             rows += [piece, without_accents(piece)]
             labels += [LANGUAGES.index(lang)] * 2
     n = len(LANGUAGES)
-    model = Model(idf.astype(np.float32), np.zeros((FEATURES, n), np.float32), np.ones(n), np.zeros(n, np.float32))
+    model = Model(idf.astype(np.float32), np.zeros((FEATURES, n), np.float32), np.ones(n), np.zeros((FEATURES, n), np.float32))
     if not rows:
         return model
     row, feature, weight = model.vectors(rows)
     group = np.array(labels)
     for _ in range(3):
-        model.centroids, model.lengths = _centroids(row, feature, weight, group, n)
-        group = (model.nearness(row, feature, weight, len(rows)) * model.lengths).argmax(axis=1)
+        model.centroids, length = _centroids(row, feature, weight, group, n)
+        group = (model.nearness(row, feature, weight, len(rows)) * length).argmax(axis=1)
+    whole, length = _centroids(row, feature, weight, group, n)
+    model.own = whole * length
     fine = group * CENTROIDS + np.arange(len(rows)) // 2 % CENTROIDS
     for _ in range(4):
-        model.centroids, model.lengths = _centroids(row, feature, weight, fine, n * CENTROIDS)
+        model.centroids, length = _centroids(row, feature, weight, fine, n * CENTROIDS)
         near = model.nearness(row, feature, weight, len(rows))
-        own = (near * model.lengths).reshape(len(rows), n, CENTROIDS)
+        own = (near * length).reshape(len(rows), n, CENTROIDS)
         fine = group * CENTROIDS + own[np.arange(len(rows)), group].argmax(axis=1)
     best = near.max(axis=1)
     model.floors = np.array([np.quantile(best[group == i], 0.02) if (group == i).any() else 1.0 for i in range(n)])
@@ -513,7 +516,7 @@ def _identified(df: DataFrame, keep: list[str], text: str, model: Model, segment
     if segments:
         parts = T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("lang", T.StringType()).add("confidence", T.DoubleType())
         schema = schema.add("segments", T.ArrayType(parts))
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors, model.lengths))
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.floors, model.own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
