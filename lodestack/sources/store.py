@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Mapping
 from datetime import UTC, datetime
 from pathlib import Path
@@ -11,39 +10,50 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestack.sources import files
+
 
 class RawStore:
+    """``folder`` may lie on any file system that Spark reads. Each release has a record of its own, so runs beside one another lose none."""
+
     def __init__(self, folder: str | Path) -> None:
-        self.folder = Path(folder)
+        self.folder = str(folder).rstrip("/")
 
     def path_of(self, source: str, release: str) -> str:
-        return str(self.folder / source / f"_release={release}")
+        return f"{self.folder}/{source}/_release={release}"
 
-    def _manifest_path(self) -> Path:
-        return self.folder / "manifest.json"
+    def _record_path(self, source: str, release: str) -> str:
+        return f"{self.folder}/_manifest/{source}/{release}.json"
 
     def manifest(self) -> dict:
-        path = self._manifest_path()
-        return json.loads(path.read_text()) if path.exists() else {}
-
-    def _save(self, manifest: Mapping) -> None:
-        self.folder.mkdir(parents=True, exist_ok=True)
-        part = self._manifest_path().with_suffix(".part")
-        part.write_text(json.dumps(manifest, indent=1, sort_keys=True))
-        os.replace(part, self._manifest_path())
+        """Of each source its stored ``releases``, the ``absent`` ones and the ``latest`` stored, put together from the records."""
+        out: dict = {}
+        for folder in files.listed(f"{self.folder}/_manifest"):
+            source = folder.rstrip("/").rsplit("/", 1)[-1]
+            for path in files.listed(folder):
+                if path.endswith(".json"):
+                    kind, record = (loaded := json.loads(files.read_text(path)))["kind"], loaded["record"]
+                    out.setdefault(source, {}).setdefault(kind, {})[path.rsplit("/", 1)[-1].removesuffix(".json")] = record
+            if out.get(source, {}).get("releases"):
+                out[source]["latest"] = max(out[source]["releases"])
+        return out
+
+    def _save(self, source: str, release: str, kind: str, record: Mapping) -> None:
+        files.write_text(self._record_path(source, release), json.dumps({"kind": kind, "record": dict(record)}, indent=1, sort_keys=True))
 
     def has(self, source: str, release: str) -> bool:
-        entry = self.manifest().get(source, {})
-        return release in entry.get("releases", {}) and Path(self.path_of(source, release)).exists()
+        return self._kind(source, release) == "releases" and files.exists(self.path_of(source, release))
+
+    def _kind(self, source: str, release: str) -> str | None:
+        path = self._record_path(source, release)
+        return json.loads(files.read_text(path))["kind"] if files.exists(path) else None
 
     def is_known(self, source: str, release: str) -> bool:
         """Stored, or looked for and found absent."""
-        return self.has(source, release) or release in self.manifest().get(source, {}).get("absent", {})
+        return self.has(source, release) or self._kind(source, release) == "absent"
 
     def mark_absent(self, source: str, release: str, record: Mapping) -> None:
-        manifest = self.manifest()
-        manifest.setdefault(source, {}).setdefault("absent", {})[release] = dict(record)
-        self._save(manifest)
+        self._save(source, release, "absent", record)
 
     def write(self, df: DataFrame, source: str, release: str, record: Mapping) -> int:
         """Adds lineage columns and writes the release; Spark's committer makes it appear at once. Returns its rows."""
@@ -51,12 +61,7 @@ class RawStore:
         path = self.path_of(source, release)
         stamped.write.mode("overwrite").parquet(path)
         rows = df.sparkSession.read.parquet(path).count()
-        manifest = self.manifest()
-        entry = manifest.setdefault(source, {})
-        entry.setdefault("releases", {})[release] = {**record, "rows": rows, "ingested_at": datetime.now(UTC).isoformat(timespec="seconds")}
-        entry["latest"] = max(entry["releases"])
-        entry.get("absent", {}).pop(release, None)
-        self._save(manifest)
+        self._save(source, release, "releases", {**record, "rows": rows, "ingested_at": datetime.now(UTC).isoformat(timespec="seconds")})
         return rows
 
     def read(self, spark: SparkSession, source: str) -> DataFrame:
@@ -64,7 +69,7 @@ class RawStore:
         before = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
         try:
-            return spark.read.option("mergeSchema", True).option("basePath", str(self.folder / source)).parquet(str(self.folder / source))
+            return spark.read.option("mergeSchema", True).option("basePath", f"{self.folder}/{source}").parquet(f"{self.folder}/{source}")
         finally:
             spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", before)
 

@@ -76,7 +76,7 @@ def built(spark, sources, tmp_path_factory):
 def test_all_tables_and_checks(built):
     tables, outcomes, skipped = built
     assert not skipped and all(o.passed for o in outcomes if o.severity == "error"), [o for o in outcomes if not o.passed]
-    assert len(HOSPITAL.nodes) == 24 and len(outcomes) >= 15 and tables["time_spine"].count() == 4748
+    assert len(HOSPITAL.nodes) == 24 and len(outcomes) >= 250 and tables["time_spine"].count() == 4748
 
 
 def test_results(built):
@@ -141,6 +141,38 @@ def test_metrics_over_built_tables(built):
     assert {r[0]: (r[1], r[2]) for r in row} == {"Alabama": (0.5, 2)}
 
 
+def test_guards_see_what_leaks(built):
+    from lodestack.plans import hospital_models as H
+
+    years, features = built[0]["dim_fiscal_year"], built[0]["ml_penalty_features"]
+    assert H.survey_after_period(years).count() == 0 and H.shared_patients(features, years).count() == 0 and H.prior_after_target(features, years).count() == 0
+    late = years.withColumn("survey_period_end", F.date_add("readmission_period_end", 1))
+    assert H.survey_after_period(late).count() == 2
+    assert H.shared_patients(features.withColumn("split", F.when(F.col("split") == "train", "test").otherwise("train")), years).count() == 1
+    assert H.prior_after_target(features, years, 1).count() == 1
+
+
+def test_shell_over_built_tables(built, tmp_path, capsys):
+    import json
+
+    from lodestack import cli
+
+    for name in cli.MARTS:
+        built[0][name].write.parquet(f"{tmp_path}/marts/{name}")
+    marts = ["--marts", f"{tmp_path}/marts"]
+    assert cli.main(["query", *marts, "share_penalized", "--by", "fiscal_year"]) == 0 and cli.main(["query", *marts, "nope"]) == 2
+    (tmp_path / "replies.json").write_text(json.dumps(['{"action": "query", "metrics": ["share_penalized"]}']))
+    assert cli.main(["ask", *marts, "--replies", str(tmp_path / "replies.json"), "What share is penalized?"]) == 0 and "0.0%" in capsys.readouterr().out
+    cases = [
+        {"id": 1, "question": "q", "category": "c", "metric": "penalized_hospitals", "keys": ["fiscal_year"], "sql": "select fiscal_year, sum(case when is_penalized then 1 else 0 end) as v from fct_hospital_year group by 1", "plan": {"metrics": ["penalized_hospitals"], "group_by": ["fiscal_year"]}},
+        {"id": 2, "question": "r", "category": "d", "expect": "decline", "reason": "advice"},
+    ]
+    (tmp_path / "cases.yaml").write_text(json.dumps(cases))
+    assert cli.main(["eval", *marts, "--cases", str(tmp_path / "cases.yaml"), "--variant", "full", "--out", str(tmp_path / "eval.json")]) == 0
+    assert "100% of 2 right" in capsys.readouterr().out and json.loads((tmp_path / "eval.json").read_text())["summary"]["full"]["accuracy"] == 1.0
+    assert cli.main(["export", *marts, "--out", str(tmp_path / "out")]) == 0 and "metric_checks" in capsys.readouterr().out
+
+
 def test_broken_table_stops_dependants(spark, tmp_path):
     p = Pipeline()
     p.add(Node("a", lambda t: spark.range(2)))

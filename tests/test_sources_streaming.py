@@ -118,6 +118,68 @@ def test_streams_and_retries(tmp_path):
     assert downloads.get("u") == downloads.get("u") and downloads.open.opened == ["u"]
 
 
+class Answered(Exception):
+    def __init__(self, code, headers=None):
+        self.code, self.headers = code, headers or {}
+
+
+@pytest.mark.parametrize("error,times", [(Answered(503), 3), (Answered(429, {"Retry-After": "0"}), 3), (Answered(404), 1), (TimeoutError(), 3), (ValueError(), 1)])
+def test_which_errors_are_tried_again(error, times):
+    calls = []
+
+    def failing(url):
+        calls.append(url)
+        raise error
+
+    with pytest.raises(type(error)):
+        with_retries(failing, tries=3, wait=0)("u")
+    assert len(calls) == times
+
+
+def test_records_of_releases(tmp_path):
+    """Each release has its own record, so two stores that write at once lose none; what was absent may be stored later."""
+    a, b = RawStore(tmp_path / "raw"), RawStore(tmp_path / "raw")
+    a.mark_absent("s", "1", {"url": "u"})
+    b.mark_absent("s", "2", {"url": "v"})
+    assert set(a.manifest()["s"]["absent"]) == {"1", "2"} and a.is_known("s", "2") and not a.has("s", "2") and not a.is_known("s", "3")
+    assert a.status() == [{"source": "s", "releases": 0, "absent": 2, "latest": None, "rows": 0}] and RawStore(tmp_path / "none").manifest() == {}
+
+
+def test_files_by_scheme(spark, tmp_path):
+    """The same calls through Hadoop's file systems."""
+    from lodestack.sources import files
+
+    for at in (str(tmp_path / "plain"), f"file://{tmp_path}/scheme"):
+        files.write_text(f"{at}/a/x.json", "é1")
+        files.write_text(f"{at}/a/x.json", "é2")
+        assert files.read_text(f"{at}/a/x.json") == "é2" and files.exists(f"{at}/a/x.json") and not files.exists(f"{at}/b") and files.listed(f"{at}/b") == []
+        assert [p.rsplit("/", 1)[-1] for p in files.listed(f"{at}/a")] == ["x.json"]
+
+
+def test_hadoop_files(spark, tmp_path, monkeypatch):
+    from lodestack.sources import files
+
+    monkeypatch.setattr(files, "is_remote", lambda path: True)
+    at = f"file://{tmp_path}/h"
+    files.write_text(f"{at}/a/x.json", "é1")
+    files.write_text(f"{at}/a/x.json", "é2")
+    assert files.read_text(f"{at}/a/x.json") == "é2" and files.exists(f"{at}/a/x.json") and not files.exists(f"{at}/b") and files.listed(f"{at}/b") == []
+    assert [p.rsplit("/", 1)[-1] for p in files.listed(f"{at}/a") if not p.endswith(".crc")] == ["x.json"]
+
+
+def test_shell_ingests_from_a_mirror(spark, tmp_path, capsys):
+    from urllib.parse import quote
+
+    mirror = tmp_path / "mirror"
+    mirror.mkdir()
+    (mirror / quote("http://x/list", safe="")).write_text(json.dumps([{"type": "theme", "date": "d1", "url": "http://x/1"}]))
+    (mirror / quote("http://x/1", safe="")).write_bytes(zipped({"Hospitals.csv": "A\n1\n2\n"}))
+    (tmp_path / "sources.yaml").write_text("sources:\n  theme:\n    kind: cms_archive\n    url: http://x/list\n    members: ['hosp*.csv']\n  other:\n    kind: static_file\n    release: 1\n    url: gone\n")
+    args = ["ingest", "--raw", str(tmp_path / "raw"), "--sources", str(tmp_path / "sources.yaml"), "--mirror", str(mirror)]
+    assert cli.main([*args, "theme"]) == 0 and "1 stored" in capsys.readouterr().out
+    assert cli.main(args) == 1 and "failed" in capsys.readouterr().out and not list((tmp_path / "raw" / "_downloads").iterdir())
+
+
 def test_ingest(spark, tmp_path, capsys):
     sources = {
         "zip": source_from("zip", {"kind": "cms_zip", "releases": [{"release": "2020", "url": "z", "member": "m.csv"}, {"release": "2021", "url": "y", "member": "m.csv"}]}),
