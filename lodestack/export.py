@@ -57,9 +57,61 @@ def labelled(code: Column, names: Mapping[str, str]) -> Column:
     return out.otherwise(code)
 
 
-def matrix(df: DataFrame, row: str, column: str, columns: Sequence[str], value: Column) -> DataFrame:
-    """Rows by columns with one figure each."""
-    return df.groupBy(row).pivot(column, list(columns)).agg(value)
+#: Most columns of a matrix.
+MOST_COLUMNS = 1000
+
+
+def matrix(df: DataFrame, row: str, column: str, value: Column) -> DataFrame:
+    """Rows by columns with one figure each; there is a column for every value of ``column``, in order."""
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_COLUMNS + 1).collect()]
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values")
+    return df.groupBy(row).pivot(column, found).agg(value)
+
+
+def model_measures(risk: DataFrame, top: str, by: Sequence[str] = ("fiscal_year",)) -> DataFrame:
+    """Of scored rows: how many are flagged, the share of these that are in the top group (``top``, a boolean column), and mean prediction and
+    mean figure; null where nothing is flagged."""
+    flagged = F.count_if("is_flagged")
+    return risk.groupBy(*by).agg(
+        flagged.alias("flagged"), F.try_divide(F.count_if(F.col("is_flagged") & F.col(top)), flagged).alias("flag_precision"), F.avg("predicted").alias("avg_predicted"), F.avg("actual").alias("avg_actual")
+    )
+
+
+#: The relationships of the exported tables, many to one: (table, column) to (table, column).
+RELATIONSHIPS = {
+    ("fct_hospital_year", "facility_id"): ("dim_hospital", "facility_id"),
+    ("fct_hospital_year", "fiscal_year"): ("dim_fiscal_year", "fiscal_year"),
+    ("fct_readmissions", "facility_id"): ("dim_hospital", "facility_id"),
+    ("fct_readmissions", "fiscal_year"): ("dim_fiscal_year", "fiscal_year"),
+    ("dim_hospital", "county_fips"): ("dim_county", "county_fips"),
+    ("model_risk", "facility_id"): ("dim_hospital", "facility_id"),
+    ("model_risk", "fiscal_year"): ("dim_fiscal_year", "fiscal_year"),
+}
+
+
+def propagated(tables: Mapping[str, DataFrame], selections: Mapping[str, Column], relationships: Mapping[tuple[str, str], tuple[str, str]] = RELATIONSHIPS) -> dict[str, DataFrame]:
+    """Tables as a report shows them under ``selections`` (table to condition): a selection filters its table and, from one to many, every
+    table that leads to it, directly or through others; it never goes the other way. Each step is a semi-join."""
+    done: dict[str, DataFrame] = {}
+    narrowed: set[str] = set()
+
+    def shown(name: str) -> DataFrame:
+        if name not in done:
+            df = tables[name]
+            if name in selections:
+                df = df.where(selections[name])
+                narrowed.add(name)
+            for (table, column), (parent, key) in relationships.items():
+                if table == name and parent in tables:
+                    above = shown(parent)
+                    if parent in narrowed:
+                        narrowed.add(name)
+                        df = df.join(above.select(F.col(key).alias("__p")), F.col(column) == F.col("__p"), "left_semi")
+            done[name] = df
+        return done[name]
+
+    return {name: shown(name) for name in tables}
 
 
 def rounded(value, digits: int = 4):

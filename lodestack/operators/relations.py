@@ -65,8 +65,13 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def rows_at_max(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """All rows with the largest value of their key, ties kept."""
-    return df.withColumn("__max", F.max(value).over(Window.partitionBy(*keys))).where(F.col(value) == F.col("__max")).drop("__max")
+    """All rows with the largest value of their key, ties kept; null keys are keys, rows with a null value go. The largest values are
+    aggregated before they are shuffled and joined back, so a hot key is not put into one task."""
+    best = df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(value).alias("__max"))
+    on = F.col(value) == F.col("__max")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(best, on, "left_semi")
 
 
 def latest_flag(df: DataFrame, value: str, name: str) -> DataFrame:

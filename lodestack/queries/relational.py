@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -561,9 +562,32 @@ def metric_returned_by_nation(spark, d):
     return out.withColumns({"share_returned": F.round("share_returned", 6), "revenue": F.round("revenue", 2)})
 
 
-@query("""select condition, """ + ", ".join(f"round(avg(excess_readmission_ratio) filter (where fiscal_year = 'FY{y}'), 6) as FY{y}" for y in range(2019, 2027)) + " from (select distinct * from fct_readmissions) group by all")
+@query("from (pivot (select distinct * from fct_readmissions) on fiscal_year using round(avg(excess_readmission_ratio), 6) group by condition)")
 def condition_year_matrix(spark, d):
-    return export.matrix(Q.facts(spark, d), "condition", "fiscal_year", [f"FY{y}" for y in range(2019, 2027)], F.round(F.avg("excess_readmission_ratio"), 6))
+    """A column for every fiscal year there is."""
+    return export.matrix(Q.facts(spark, d), "condition", "fiscal_year", F.round(F.avg("excess_readmission_ratio"), 6))
+
+
+@query("with " + Q.PAYMENTS_SQL + """, r as (select fiscal_year, payment_reduction_pct as predicted, dual_proportion as actual, is_penalized,
+(rank() over (partition by fiscal_year order by payment_reduction_pct) + (count(*) over (partition by fiscal_year, payment_reduction_pct) - 1) / 2.0) / count(*) over (partition by fiscal_year) > 0.75 as is_flagged from payments where payment_reduction_pct is not null)
+select fiscal_year, count(*) filter (where is_flagged) as flagged, round(cast(count(*) filter (where is_flagged and is_penalized) as double) / nullif(count(*) filter (where is_flagged), 0), 6) as flag_precision, round(avg(predicted), 6) as avg_predicted, round(avg(actual), 6) as avg_actual from r group by all""")
+def model_measures(spark, d):
+    """Measures of a report on scored rows: flagged, precision of the flag, mean prediction and figure."""
+    rows = Q.payments(spark, d).where("payment_reduction_pct is not null")
+    risk = export.model_risk(rows, "payment_reduction_pct", "dual_proportion").join(rows.select("facility_id", "fiscal_year", "is_penalized"), ["facility_id", "fiscal_year"])
+    out = export.model_measures(risk, "is_penalized")
+    return out.select("fiscal_year", "flagged", *[F.round(c, 6).alias(c) for c in ("flag_precision", "avg_predicted", "avg_actual")])
+
+
+@query("with " + Q.FACTS_SQL + "," + Q.HOSPITALS_SQL + """ select 'dim_county' as name, count(*) as n from census_county where state = 'TX' union all select 'dim_hospital', count(*) from hospitals where county_fips in (select county_fips from census_county where state = 'TX')
+union all select 'dim_fiscal_year', count(*) from (select distinct fiscal_year from fct_readmissions) where fiscal_year >= 'FY2024'
+union all select 'fct_readmissions', count(*) from facts where fiscal_year >= 'FY2024' and facility_id in (select facility_id from hospitals where county_fips in (select county_fips from census_county where state = 'TX'))""")
+def filter_propagation(spark, d):
+    """A county and a year selected in a report: what is left of each table."""
+    tables = {"dim_county": table(spark, d, "census_county"), "dim_hospital": Q.hospitals(spark, d), "dim_fiscal_year": table(spark, d, "fct_readmissions").select("fiscal_year").distinct(), "fct_readmissions": Q.facts(spark, d)}
+    shown = export.propagated(tables, {"dim_county": F.col("state") == "TX", "dim_fiscal_year": F.col("fiscal_year") >= "FY2024"})
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in shown.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query("""with a as (select fiscal_year, condition, cast(count(*) as double) as expected from fct_readmissions group by all), b as (select fiscal_year, condition, cast(count(*) as double) as found from (select distinct * from fct_readmissions) group by all)

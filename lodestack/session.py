@@ -44,7 +44,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` for work that takes far longer than its reading: a scan of fewer parts than there are cores, whatever its size,
     is dealt to all cores, as few files or files of one row group cannot be read in more parts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df._jdf.queryExecution().toRdd().getNumPartitions())
+    return df.repartition(cores) if parts < cores else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

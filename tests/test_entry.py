@@ -22,15 +22,9 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@needs_data
-@pytest.mark.parametrize("name", list(core()))
-def test_query_equals_sql(spark, name):
+def same_as_sql(df, sql):
     duckdb = pytest.importorskip("duckdb")
-    df = core()[name](spark, FOLDER)
     got = df.collect()
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        return
     con = duckdb.connect()
     for p in Path(FOLDER).glob("*.parquet"):
         con.execute(f"create view {p.stem} as select * from '{p}'")
@@ -42,6 +36,41 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(text(r[c]) for c in sorted(names)) for r in got) == want
 
 
+@needs_data
+@pytest.mark.parametrize("name", list(core()))
+def test_query_equals_sql(spark, name):
+    df = core()[name](spark, FOLDER)
+    if name in entry.oracle_sql():
+        same_as_sql(df, entry.oracle_sql()[name])
+    else:
+        df.collect()
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    from lodestack.plans.hospital_models import HOSPITAL
+    from lodestack.queries import models
+
+    return models.built(spark, FOLDER, list(HOSPITAL.nodes)) if os.path.exists(FOLDER) else {}
+
+
+@needs_data
+@pytest.mark.parametrize("name", [n.removeprefix("model_") for n in entry.oracle_sql() if n.startswith("model_") and n != "model_measures"])
+def test_table_equals_sql(tables, name):
+    from pyspark.sql import functions as F
+
+    from lodestack.queries import models
+
+    df = tables[name]
+    same_as_sql(df.withColumns({c: F.round(c, 6) for c in df.columns if c in models.SUMS}), entry.oracle_sql()[f"model_{name}"])
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["dq_guards", "metric_star_states"])
+def test_query_over_tables_equals_sql(spark, name):
+    same_as_sql(entry.queries()[name](spark, FOLDER), entry.oracle_sql()[name])
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -121,9 +121,51 @@ def test_export(spark, tmp_path):
     assert [r["k"] for r in X.mismatches(a, b, ["k"], "v", "w").collect()] == ["y"]
     assert X.export_tables({"a": a}, tmp_path) == {"a": 3} and (tmp_path / "manifest.json").exists()
     assert X.rounded({"a": float("nan"), "b": [0.123456]}) == {"a": None, "b": [0.1235]}
-    assert X.matrix(a, "k", "v", [1.0, 2.0], F.count(F.lit(1))).count() == 3
+    assert X.matrix(a, "k", "v", F.count(F.lit(1))).count() == 3
 
 
 @pytest.mark.parametrize("a,b,want", [(D(2020, 1, 31), D(2020, 2, 1), 1), (D(2019, 7, 1), D(2020, 7, 1), 12)])
 def test_months(spark, a, b, want):
     assert spark.range(1).select(R.months_between_starts(F.lit(a), F.lit(b)).alias("m")).first()["m"] == want
+
+
+def test_selections_propagate_one_way(spark):
+    counties = spark.createDataFrame([("c1", "TX"), ("c2", "AL")], "county_fips string, state string")
+    hospitals = spark.createDataFrame([("h1", "c1"), ("h2", "c2"), ("h3", None)], "facility_id string, county_fips string")
+    facts = spark.createDataFrame([("h1", "FY1"), ("h2", "FY1"), ("h1", "FY2"), (None, "FY1")], "facility_id string, fiscal_year string")
+    tables = {"fct_readmissions": facts, "dim_hospital": hospitals, "dim_county": counties}
+    count = lambda selections: {n: df.count() for n, df in X.propagated(tables, selections).items()}
+    assert count({"dim_county": F.col("state") == "TX"}) == {"fct_readmissions": 2, "dim_hospital": 1, "dim_county": 1}
+    assert count({"fct_readmissions": F.col("fiscal_year") == "FY2"}) == {"fct_readmissions": 1, "dim_hospital": 3, "dim_county": 2}
+    assert count({}) == {"fct_readmissions": 4, "dim_hospital": 3, "dim_county": 2}
+
+
+def test_measures_of_scored_rows(spark):
+    risk = spark.createDataFrame([("FY1", True, True, 1.0, 2.0), ("FY1", True, False, 3.0, 2.0), ("FY1", False, None, 0.0, None), ("FY2", False, True, 1.0, 1.0)], "fiscal_year string, is_flagged boolean, top boolean, predicted double, actual double")
+    got = {r["fiscal_year"]: tuple(r)[1:] for r in X.model_measures(risk, "top").collect()}
+    assert got == {"FY1": (2, 0.5, 4 / 3, 2.0), "FY2": (0, None, 1.0, 1.0)}
+
+
+def test_rows_at_max_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), (None, 5), (None, 4), ("b", None)], "k string, v int")
+    assert sorted(((r["k"], r["v"]) for r in R.rows_at_max(df, ["k"], "v").collect()), key=str) == sorted([("a", 2), ("a", 2), (None, 5)], key=str)
+
+
+def test_windows_beyond_the_limit(spark, rows, monkeypatch):
+    """The way for many windows gives the same as the one for few."""
+    import datetime
+
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    left = spark.createDataFrame([(i, day(i * 7 % 40)) for i in range(40)] + [(99, None), (98, day(-5))], "i int, at date")
+    windows = spark.createDataFrame([(day(n - 5), day(n)) for n in range(3, 36, 4)] + [(day(0), day(11)), (day(1), None)], "s date, e date")
+    few = rows(R.asof_window(left, windows, "at", "s", "e").select("i", "at", "s", "e"))
+    monkeypatch.setattr(R, "MOST_WINDOWS", 2)
+    assert rows(R.asof_window(left, windows, "at", "s", "e").select("i", "at", "s", "e")) == few
+
+
+def test_failures_of_many_rules_in_one_pass(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "n int, s string")
+    suite = C.Suite()
+    suite.add_rows(df, {"n_known": (F.col("n").isNull(), "error"), "s_known": (F.col("s").isNull(), "warn"), "small": (F.col("n") > 5, "error")})
+    assert [(o.name, o.severity, o.failures) for o in suite.run(str(tmp_path))] == [("n_known", "error", 1), ("s_known", "warn", 1), ("small", "error", 0)]
+    assert spark.read.parquet(f"{tmp_path}/n_known").count() == 1 and not (tmp_path / "small").exists()
