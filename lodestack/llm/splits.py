@@ -30,9 +30,9 @@ def _stars(hooks: DataFrame) -> DataFrame:
         far = up.select(F.col("c").alias("__c"), F.col("p").alias("__p"))
         up = cut(up.join(far, F.col("p") == F.col("__c"), "left").select("c", F.coalesce("__p", "p").alias("p"), (F.col("__p") != F.col("p")).alias("__moved")))
         if not up.where("__moved").limit(1).count():
-            break
+            return up.select("c", "p")
         up = up.select("c", "p")
-    return up.select("c", "p")
+    raise RuntimeError(f"roots were not reached in {MOST_ROUNDS} rounds")
 
 
 def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +65,8 @@ def spanning_forest(edges: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFr
         low, high = F.least("ca", "cb"), F.greatest("ca", "cb")
         live = cut(live.groupBy(low.alias("l"), high.alias("h")).agg(F.min(F.struct("a", "b")).alias("e")).select(F.col("l").alias("ca"), F.col("h").alias("cb"), "e.a", "e.b"))
         labels = cut(labels.join(root("c"), "c", "left").select("node", F.coalesce("__c", "c").alias("c")))
+    else:
+        raise RuntimeError(f"contraction did not end in {MOST_ROUNDS} rounds")
     smallest = labels.groupBy("c").agg(F.min("node").alias("root"))
     labels = labels.join(smallest, "c").select("node", "root")
     if forest is None:
