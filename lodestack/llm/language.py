@@ -51,7 +51,7 @@ WINDOW, STEP, SENTENCE = 8, 4, 40
 
 #: Where languages meet without a stop, a change costs so much of the words' evidence; a part must have so much more of it than
 #: its neighbours' languages have there, and be so sure or have very much more, to count.
-CHANGE, GAIN, ALONE, CLEAR = 1.2, 2.5, 0.85, 5.0
+CHANGE, GAIN, ALONE, CLEAR = 1.2, 3.0, 0.85, 6.0
 
 #: A stretch is rejected below this part of the score that all but 2 % of its language's training sentences reach, or
 #: if the next language comes closer than MARGIN.
